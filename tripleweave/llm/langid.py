@@ -40,7 +40,7 @@ class Model:
 def judge(text: str, compressors: dict, block: int) -> tuple[str, float]:
     """The best language and its margin: by what part of the second's size the best is smaller."""
     body = words_of(text)
-    if not body or not compressors:
+    if not compressors or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0
     sizes = sorted((sum(len(c.compress(body[i : i + block])) for i in range(0, len(body), block)), k) for k, c in compressors.items())
     if len(sizes) == 1:

@@ -1,9 +1,12 @@
 """The operators' queries, by name, and the SQL that they equal where SQL can express them."""
 
+from .exact import OP5_SQL, op5_exact_dedup
 from .langid import op4_language
 from .media import op10_media
+from .mixing import OP2_SQL, op2_mixing
 from .pii import op6_pii
 from .secret_scan import op1_secrets
+from .sharding import op7_sharding
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_language, op6_pii, op10_media)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_mixing, op4_language, op5_exact_dedup, op6_pii, op7_sharding, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_exact_dedup": OP5_SQL}
