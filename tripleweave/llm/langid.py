@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .base import per_text
+from .base import arrow_bounds, per_text
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -85,6 +86,21 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return per_text(df, work, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())], id_col, text_col)
 
 
+def accepted(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.002) -> DataFrame:
+    """The rows of df that identify() would not reject, all columns as they are; the rows do not move."""
+    arrow_bounds(df.sparkSession)
+    ready: list[dict] = []
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        if not ready:
+            ready.append(model.compressors())
+        found = (judge(t or "", ready[0], model.block) for t in texts)
+        return pd.Series([k != UNDETERMINED and m >= least for k, m in found], dtype=bool)
+
+    return df.where(keep(F.col(text_col)))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from training: crc32 of its id as text leaves 0 modulo 5. A null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
