@@ -98,3 +98,29 @@ def test_components(spark):
     named = components(spark.createDataFrame([("x", "y")], "p string, q string"), "p", "q")
     assert {(r["node"], r["root"]) for r in named.collect()} == {("x", "x"), ("y", "x")}
     assert components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def near_copy(rng, words, share):
+    out = list(words)
+    for k in rng.sample(range(len(out)), max(1, int(share * len(out)))):
+        out[k] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("cell", [16, 16_384])
+def test_near_texts(spark, table, cell, monkeypatch):
+    """Copies with a word in fifty changed are found, in one cell or many; unrelated texts of the same words are not."""
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.WIDE_RADIUS, 0.8, cell))
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randint(60, 400))] for _ in range(120)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, near_copy(rng, texts[i], 0.015)) for i in range(0, 120, 2)] + [(2000 + i, near_copy(rng, texts[0], 0.01)) for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(table(rows)).collect()}
+    assert all(got[i] == i for i in range(120))
+    assert all(got[1000 + i] == i for i in range(0, 120, 2)) and all(got[2000 + i] == 0 for i in range(60))
+
+
+def test_near_texts_edges(table, edge_rows):
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_texts(table(edge_rows)).collect()]
+    assert len(got) == len(edge_rows) and {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (None, 1), (None, 4)} <= set(got)
+    assert simhash.one_of_each(table([])).count() == 0

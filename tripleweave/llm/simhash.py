@@ -51,18 +51,7 @@ def linked(values: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray
     order = np.argsort(bits, kind="stable")
     values, bits = values[order], bits[order].astype(np.int64)
     n = len(values)
-    root = np.arange(n)
-
-    def join(i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            ri, rj = root[i], root[j]
-            apart = ri != rj
-            if not apart.any():
-                return
-            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
-            np.minimum.at(root, np.maximum(ri, rj), np.minimum(ri, rj))
-            while not np.array_equal(up := root[root], root):
-                root[:] = up
+    forest = Forest(n)
 
     for a in range(0, n, tile):
         left, most = values[a : a + tile], bits[min(a + tile, n) - 1]
@@ -71,9 +60,9 @@ def linked(values: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray
                 break
             i, j = np.nonzero(np.bitwise_count(left[:, None] ^ values[None, b : b + tile]) <= radius)
             i, j = i + a, j + b
-            join(i[i < j], j[i < j])
-    member = np.nonzero(root != np.arange(n))[0]
-    return values[member], values[root[member]]
+            forest.join(i[i < j], j[i < j])
+    member = np.nonzero(forest.root != np.arange(n))[0]
+    return values[member], values[forest.root[member]]
 
 
 def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
@@ -140,10 +129,153 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("rows").alias("fingerprint_rows"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """df with the row of the smallest id of each group of near copies, all columns as they are. Rows that share an id
-    stand or fall together; rows without id go where their group has one, else stay."""
-    found = near_copies(df, id_col, text_col, radius).groupBy(F.col(id_col).alias("__near_id")).agg(F.max(F.coalesce(F.col(id_col).eqNullSafe(F.col("component_id")), F.lit(False))).alias("stays"))
+#: Bits, words of a shingle and radius with which whole near copies are found: at a similarity of 0.8 fingerprints of
+#: 256 bits differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
+WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 54
+#: Rows of one side of a task's comparison.
+CELL = 16_384
+
+
+def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, int]:
+    """256 majority bits over two 128-bit hashes of each shingle, and the count of shingles (0 without words)."""
+    from xxhash import xxh3_128_digest
+
+    words = raw.lower().split()
+    if not words:
+        return bytes(WIDE // 8), 0
+    body = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - shingle + 1)
+    spans = list(zip(np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist()))
+    counts = []
+    for seed in (42, 43):
+        lanes = np.frombuffer(b"".join([xxh3_128_digest(body[i:j], seed) for i, j in spans]), np.uint8).reshape(n, 16)
+        counts += [np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(16)] if n > 64 else [np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0)]
+    return np.packbits(np.concatenate(counts) * 2 > n, bitorder="little").tobytes(), n
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs within radius bits (rows of four 64-bit lanes) whose sizes allow the similarity. Two lanes are
+    counted for all pairs, the others only where the first two are within the radius."""
+    near = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
+    near += np.bitwise_count(left[:, None, 1] ^ right[None, :, 1])
+    i, j = np.nonzero(near <= radius)
+    if len(i):
+        some = near[i, j].astype(np.int64) + np.bitwise_count(left[i, 2:] ^ right[j, 2:]).sum(axis=1) <= radius
+        i, j = i[some], j[some]
+        alike = np.minimum(left_sizes[i], right_sizes[j]) >= similarity * np.maximum(left_sizes[i], right_sizes[j])
+        i, j = i[alike], j[alike]
+    return i, j
+
+
+class Forest:
+    """Union by least index over arrays of pairs."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root
+        while True:
+            ri, rj = root[i], root[j]
+            apart = ri != rj
+            if not apart.any():
+                return
+            i, j, ri, rj = i[apart], j[apart], ri[apart], rj[apart]
+            np.minimum.at(root, np.maximum(ri, rj), np.minimum(ri, rj))
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+
+
+def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
+    """(a, b): edges that connect all nodes (columns node: fingerprint and size as bytes, fp, size) within radius bits and
+    of sizes that allow the similarity.
+
+    Sizes fall into classes of the ratio `similarity`, so only equal and next classes are compared: by tiles, cells of a
+    class by a hash, each pair of cells one task. Inside, rows are sorted by population count, and tile pairs whose
+    counts differ beyond the radius are skipped. A task gives a forest, never all its pairs.
+    """
+    arrow_bounds(nodes.sparkSession)
+    classed = nodes.select("node", "fp", "size", F.when(F.col("size") < 1, -9).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9)).cast("int").alias("c"))
+    cells = cut(classed.groupBy("c").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("k")))
+    known = cells.select(F.col("c"), F.col("k"), F.lit(0).alias("by")).unionByName(cells.select((F.col("c") - 1).alias("c"), "k", F.lit(1).alias("by"))).unionByName(cells.select((F.col("c") + 1).alias("c"), "k", F.lit(-1).alias("by")))
+    # one row a class, and classes grow with the logarithm of the longest text
+    ks = F.broadcast(known.groupBy("c").agg(*[F.max(F.when(F.col("by") == by, F.col("k"))).alias(name) for by, name in ((0, "k"), (1, "above"), (-1, "under"))]).where("k is not null"))
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    own, c = F.col("own"), F.col("c")
+    pair = lambda p, x, q, y, side: F.struct(p.alias("p"), x.alias("x"), q.alias("q"), y.alias("y"), side.alias("side"))
+    tasks = F.concat(
+        F.transform(upto(F.col("k")), lambda x: pair(c, F.least(x, own), c, F.greatest(x, own), (x < own).cast("int"))),
+        F.transform(upto(F.coalesce("above", F.lit(0))), lambda x: pair(c, own, c + 1, x, F.lit(0))),
+        F.transform(upto(F.coalesce("under", F.lit(0))), lambda x: pair(c - 1, x, c, own, F.lit(1))),
+    )
+    dealt = classed.join(ks, "c").withColumn("own", F.pmod(F.xxhash64("fp"), "k").cast("int")).select("node", "fp", "size", F.explode(tasks).alias("t"))
+    keyed = dealt.select(F.xxhash64("t.p", "t.x", "t.q", "t.y").alias("task"), F.col("t.side").alias("side"), "node", "fp", "size")
+    out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(table: pa.Table) -> pa.RecordBatch:
+            side, sizes, names = table.column("side").to_numpy(), table.column("size").to_numpy(), table.column("node").combine_chunks()
+            lanes = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            bits = np.bitwise_count(lanes).sum(axis=1).astype(np.int64)
+            left, right = (np.nonzero(side == x)[0] for x in (0, 1))
+            left, right = left[np.argsort(bits[left], kind="stable")], right[np.argsort(bits[right], kind="stable")]
+            same = not len(right)
+            right = left if same else right
+            forest, tile = Forest(len(side)), 512
+            for at in range(0, len(left), tile):
+                a = left[at : at + tile]
+                for to in range(at if same else 0, len(right), tile):
+                    b = right[to : to + tile]
+                    if bits[b[0]] - bits[a[-1]] > radius:
+                        break
+                    if bits[a[0]] - bits[b[-1]] > radius:
+                        continue
+                    i, j = near_pairs(lanes[a], lanes[b], sizes[a], sizes[b], radius, similarity)
+                    forest.join(a[i], b[j])
+            member = np.nonzero(forest.root != np.arange(len(side)))[0]
+            return pa.RecordBatch.from_arrays([names.take(pa.array(member)), names.take(pa.array(forest.root[member]))], names=["a", "b"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            task = table.column("task").to_numpy()
+            if not len(task):
+                continue
+            ends = np.concatenate([[0], np.nonzero(np.diff(task))[0] + 1, [len(task)]])
+            for lo, hi in zip(ends, ends[1:]):
+                if held and held[-1].column("task")[0].as_py() != task[lo]:
+                    yield found(pa.concat_tables(held))
+                    held = []
+                held.append(table.slice(lo, hi - lo))
+        if held:
+            yield found(pa.concat_tables(held))
+
+    return keyed.repartition("task").sortWithinPartitions("task").mapInArrow(compare, out)
+
+
+def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), one row for each row of df: classes of texts about as similar as `similarity` or more by
+    shingles of five words, repeats included, over links of wide fingerprints. Texts without words are one class. Other
+    cases as in near_copies()."""
+
+    def work(texts: list[bytes]) -> list[list]:
+        found = [wide_fingerprint(x, shingle) for x in texts]
+        return [[f for f, _ in found], [n for _, n in found]]
+
+    fields = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
+    prints = cut(per_text(df, work, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("node", F.concat("fp", F.unhex(F.lpad(F.hex("size"), 16, "0")))))
+    nodes = cut(prints.groupBy("node", "fp", "size").agg(F.min("id").alias("first")))
+    roots = hinted(cut(components(wide_links(nodes, radius, similarity))))
+    least = hinted(cut(nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))))
+    classes = hinted(cut(nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component_id"))))
+    return prints.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """df with the row of the smallest id of each class of near_texts(), all columns as they are. Rows that share an id
+    stand or fall together; rows without id go where their class has one, else stay."""
+    found = near_texts(df, id_col, text_col, **more).groupBy(F.col(id_col).alias("__near_id")).agg(F.max(F.coalesce(F.col(id_col).eqNullSafe(F.col("component_id")), F.lit(False))).alias("stays"))
     gone = hinted(cut(found.where("not stays").select("__near_id")))
     return df.join(gone, df[id_col].eqNullSafe(gone["__near_id"]), "left_anti")
 
