@@ -131,7 +131,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 #: Bits, words of a shingle and radius with which whole near copies are found: at a similarity of 0.8 fingerprints of
 #: 256 bits differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 54
+WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 50
 #: Rows of one side of a task's comparison.
 CELL = 16_384
 
