@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .base import arrow_bounds, cut, id_and_text, utf8
+from .base import arrow_bounds, cut, id_and_text
 
 END = 0
 #: Entries and tokens that a worker's table of known words holds before it starts anew.
-WORDS, KNOWN = 400_000, 4_000_000
+WORDS, KNOWN = 500_000, 5_000_000
 
 
 def vocabulary() -> str:
@@ -23,46 +26,85 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters, then a tail of marks: the tokenizer parts them there, and a run of letters is one of its words.
+_STEM = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!;:?|#%&*$]*)")
+#: A Python worker's tables, kept for its next task.
+_known: dict[str, Words] = {}
+
+
 class Words:
     """Token ids of texts, by a table of the ids of each word. The tokenizer drops white space and merges nothing
-    across it, so a text's ids are its words' ids in a row."""
+    across it, so a text's ids are its words' ids in a row. It lower-cases, and parts letters from marks, so a new word
+    is encoded only if its lower-case stem is new too."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.stems: dict[bytes, list[int]] = {b"": []}
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
+
+    def spelled(self, stems: list[bytes]) -> list[list[int]]:
+        """The ids of runs of letters, many in one text: a word's last token says that it ends there."""
+        out = []
+        for at in range(0, len(stems), 20_000):
+            part = stems[at : at + 20_000]
+            ids = self.encoded([b" ".join(part)])[0]
+            stops = (np.nonzero(self.ends[ids])[0] + 1).tolist()
+            out += [ids[i:j] for i, j in zip([0, *stops], stops)] if len(stops) == len(part) and stops[-1] == len(ids) else self.encoded(part)
+        return out
+
     def learn(self, words: list[bytes]) -> None:
-        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
+        stems, parts, letters, others = self.stems, [], set(), set()
+        for w in words:
+            if m := _STEM.fullmatch(w):
+                stem, marks = m.groups()
+                if stem not in stems:
+                    letters.add(stem)
+                if marks not in stems:
+                    others.add(marks)
+                parts.append((stem, marks))
+            else:
+                if w not in stems:
+                    others.add(w)
+                parts.append((w, b""))
+        for new, encode in ((list(letters), self.spelled), (list(others), self.encoded)):
+            stems.update(zip(new, encode(new)))
+        ids = [stems[a] + stems[b] if b else stems[a] for a, b in parts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and END. Special tokens are matched as they are written, so a text that may hold one
+        is not lower-cased here."""
         if len(self.index) > WORDS or len(self.flat) > KNOWN:
             self.clear()
-        split = [x.split() for x in texts]
-        if new := set().union(*split).difference(self.index):
-            self.learn(sorted(new))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(words) else 0
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
-            ids[total] = END
-            out.append(ids)
-        return out
+        plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(plain)
+        words = lists.flatten().dictionary_encode()
+        known = words.dictionary.cast(pa.binary()).to_pylist()
+        if new := [w for w in known if w not in self.index]:
+            self.learn(new)
+        at = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))[words.indices.to_numpy()]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        return [np.append(flat[i:j], np.uint32(END)) for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None) -> DataFrame:
@@ -74,10 +116,11 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, t) for n, t in own)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = _known.setdefault(path, None) or Words(path)
+        _known[path] = words
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for n, ids in enumerate(words.ids(utf8(batch.column(1)))):
+            for n, ids in enumerate(words.ids(batch.column(1))):
                 ids = ids.astype("<u4", copy=False)
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
