@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.registry import Arguments, Registry, default_registry
@@ -116,10 +116,33 @@ def constant_token(term: Term) -> str:
 
 
 class Terms:
-    """Compiles the term maps of one source's rows. others compiles quoted maps and gathers, which need more than the row."""
+    """Compiles the term maps of one source's rows.
 
-    def __init__(self, rows: Rows, options: Options, base: str | None = None):
+    Cells and tokens become columns of their own in two projections under what uses them, each computed once a row
+    however often it is used, and expressions stay small enough to be compiled.
+    """
+
+    def __init__(self, rows: Rows, options: Options, base: str | None = None, before: Terms | None = None):
+        """before: the terms of the rows that these extend by columns; what it made is there already."""
         self.rows, self.options, self.base = rows, options, base
+        self.cells: dict[tuple, Value] = dict(before.cells) if before else {}
+        self.tokens: dict[TermMap, Value] = dict(before.tokens) if before else {}
+        self.made: list[list[Column]] = [[], []]
+
+    def frame(self) -> DataFrame:
+        """The rows with the columns that terms made so far."""
+        df = self.rows.df
+        for columns in self.made:
+            df = df.select("*", *columns) if columns else df
+        return df
+
+    def _kept(self, known: dict, key, layer: int, make: Callable[[], Value]) -> Value:
+        if key not in known:
+            found = make()
+            name = f"__{'ct'[layer]}{len(known)}"
+            self.made[layer].append(found.column.alias(name))
+            known[key] = Value(F.col(name), STRING, found.many)
+        return known[key]
 
     def value(self, reference: str) -> Value:
         found = self.rows.resolve(reference)
@@ -132,9 +155,13 @@ class Terms:
     # --- texts without marks
 
     def reference(self, reference: str) -> Value:
-        found = self.value(reference)
         tokens = self.rows.tokens if self.options.null_tokens else ()
-        return each(found, lambda c: self._cell(c, found.type, tokens))
+
+        def make() -> Value:
+            found = self.value(reference)
+            return each(found, lambda c: self._cell(c, found.type, tokens))
+
+        return self._kept(self.cells, ("text", reference), 0, make)
 
     @staticmethod
     def _cell(c: Column, kind: T.DataType, tokens: tuple[str, ...]) -> Column:
@@ -142,8 +169,11 @@ class Terms:
         made = tx.text_of(c, kind)
         return tx.trimmed(tx.present(made, tokens)) if isinstance(kind, T.StringType | T.BinaryType) else made
 
-    def _part(self, found: Value) -> Value:
+    def _part(self, reference: str) -> Value:
         """A value as it stands in a template."""
+        return self._kept(self.cells, ("part", reference), 0, lambda: self._made_part(self.value(reference)))
+
+    def _made_part(self, found: Value) -> Value:
         kind, tokens = found.type, self.rows.tokens if self.options.null_tokens else ()
 
         def change(c: Column) -> Column:
@@ -158,7 +188,7 @@ class Terms:
 
     def template(self, template: str, encode: bool) -> Value:
         parts = tokens_of(template)
-        values = [self._part(self.value(t)) for is_ref, t in parts if is_ref]
+        values = [self._part(t) for is_ref, t in parts if is_ref]
 
         def build(columns: list[Column]) -> Column:
             out, n, text_has, seen = [], 0, False, []
@@ -246,6 +276,9 @@ class Terms:
     def token(self, term: TermMap) -> Value:
         if term.form == "constant" and term.term_type == ({Iri: "IRI", Blank: "BlankNode", Literal: "Literal"}[type(term.value)]) and not (term.language or term.datatype):
             return Value(F.lit(constant_token(term.value)), STRING)
+        return self._kept(self.tokens, term, 1, lambda: self._token(term))
+
+    def _token(self, term: TermMap) -> Value:
         kind = term.term_type or "Literal"
         if kind == "IRI":
             known = term.form == "template" and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:[^{]", term.value) is not None

@@ -154,7 +154,7 @@ def view_rows(engine, view: View) -> Rows:
         rows = engine.tables[view.source.location]
     else:
         wanted = [r for f in view.fields for r in references(f.term)] + [r for j in view.joins for c in j.conditions for r in references(c.child)]
-        rows = read(engine.spark, view.source, wanted, engine.options.null_tokens)
+        rows = read(engine.spark, view.source, wanted, engine.options)
     used = _uses_index(engine, view)
     if used:
         rows = Rows(row_index(rows.df), rows.resolve, rows.kind, rows.tokens)
@@ -172,7 +172,7 @@ def view_rows(engine, view: View) -> Rows:
         for i, c in enumerate(j.conditions):
             keyed.append(terms.text(c.child).column.alias(f"__key{n}_{i}"))
         joins.append((n, j))
-    df = rows.df.select(*columns, *keyed)
+    df = terms.frame().select(*columns, *keyed)
     for n, j in joins:
         df = _joined(engine, df, n, j)
     return flat(flatten_lists(df), "view")
@@ -183,7 +183,8 @@ def _joined(engine, df: DataFrame, n: int, j) -> DataFrame:
     terms = Terms(parent, engine.options, engine.mapping.base)
     names = [f"__parent{n}_{i}" for i in range(len(j.conditions))]
     fields = [(terms.text(f.term).column if f.term else terms.reference(f.name).column).alias(f.name) for f in j.fields]
-    side = parent.df.select(*[terms.text(c.parent).column.alias(k) for k, c in zip(names, j.conditions)], *fields)
+    keys = [terms.text(c.parent).column.alias(k) for k, c in zip(names, j.conditions)]
+    side = terms.frame().select(*keys, *fields)
     for k in names:
         side = side.where(F.col(k) != "")
     on = reduce(lambda x, y: x & y, [F.col(f"__key{n}_{i}") == F.col(k) for i, k in enumerate(names)])

@@ -43,7 +43,7 @@ class Engine:
     def __init__(self, spark: SparkSession, mapping: Mapping, options: Options | None = None, tables: dict[str, Rows] | None = None):
         """tables gives rows for source locations in place of reading them."""
         self.spark, self.mapping, self.options = spark, mapping, options or Options()
-        self.tables, self.read, self.joins = dict(tables or {}), {}, 0
+        self.tables, self.read, self.made, self.joins = dict(tables or {}), {}, {}, 0
         self.names = {m.id: i for i, m in enumerate(mapping.maps.values())}
 
     # --- sources
@@ -84,11 +84,26 @@ class Engine:
 
                 self.read[source] = view_rows(self, self.mapping.views[source.location])
             else:
-                self.read[source] = read(self.spark, source, self.all_references(source), self.options.null_tokens)
+                self.read[source] = self.spread(read(self.spark, source, self.all_references(source), self.options))
         return self.read[source]
 
+    def spread(self, rows: Rows) -> Rows:
+        """Rows of a source that is read by fewer tasks than there are cores (a file that cannot be split) are dealt
+        over all of them before terms are made."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if rows.kind in ("mysql", "postgres") or rows.df.rdd.getNumPartitions() >= cores:
+            return rows
+        return replace(rows, df=rows.df.repartition(cores))
+
     def terms(self, rows: Rows) -> Terms:
-        return Terms(rows, self.options, self.mapping.base)
+        """The one compiler of some rows' terms."""
+        if id(rows) not in self.made:
+            self.made[id(rows)] = Terms(rows, self.options, self.mapping.base)
+        return self.made[id(rows)]
+
+    def frame(self, rows: Rows) -> DataFrame:
+        """The rows with the columns of all terms compiled for them so far."""
+        return self.terms(rows).frame()
 
     # --- terms that need more than expressions
 
@@ -102,10 +117,8 @@ class Engine:
 
     def parent_side(self, parent: TriplesMap, conditions: tuple[JoinCondition, ...], token: Value, rows: Rows) -> DataFrame:
         """Distinct keys and tokens of a parent's rows; null and empty keys join nothing."""
-        df = rows.df.select(*[k.alias(f"k{i}") for i, k in enumerate(self.keys(rows, [c.parent for c in conditions]))], (F.explode(token.column) if token.many else token.column).alias("token")) if not token.many else None
-        if df is None:
-            df = rows.df.select("*", F.explode(token.column).alias("token"))
-            df = df.select(*[k.alias(f"k{i}") for i, k in enumerate(self.keys(rows, [c.parent for c in conditions]))], "token")
+        keys = [k.alias(f"k{i}") for i, k in enumerate(self.keys(rows, [c.parent for c in conditions]))]
+        df = self.frame(rows).select("*", (F.explode(token.column) if token.many else token.column).alias("token")).select(*keys, "token")
         for i in range(len(conditions)):
             df = df.where(F.col(f"k{i}") != "")
         return df.where("token is not null").distinct()
@@ -127,8 +140,9 @@ class Engine:
         lists = side.groupBy(*by).agg(F.sort_array(F.collect_set("token")).alias(name))
         lists = lists.select(*[F.col(k).alias(f"{name}{k}") for k in by], name)
         on = reduce(lambda x, y: x & y, [k == F.col(f"{name}k{i}") for i, k in enumerate(self.keys(rows, [c.child for c in conditions]))])
-        df = rows.df.join(lists, on, "left").drop(*[f"{name}{k}" for k in by])
-        return replace(rows, df=df), Value(F.col(name), None, True)
+        after = replace(rows, df=self.frame(rows).join(lists, on, "left").drop(*[f"{name}{k}" for k in by]))
+        self.made[id(after)] = Terms(after, self.options, self.mapping.base, self.terms(rows))
+        return after, Value(F.col(name), None, True)
 
     def gathered(self, rows: Rows, g: Gather, m: TriplesMap, node: Column | None, mark: str) -> tuple[Rows, Gathered]:
         values, nested = [], []
@@ -239,7 +253,8 @@ class Engine:
                 subject = self.terms(rows).token(m.subject.term) if m.subject.term.form != "quoted" else self.quoted(rows, self.mapping.maps[m.subject.term.value])
                 statements = self.pom_statements(rows, m, pom, subject, single(F.lit(None).cast("string")), o)
                 names = [f"c{i}" for i in range(len(o.conditions))]
-                left = rows.df.select(*[k.alias(n) for k, n in zip(self.keys(rows, [c.child for c in o.conditions]), names)], _quads(statements, keep_null_object=True).alias("quads"))
+                keys = [k.alias(n) for k, n in zip(self.keys(rows, [c.child for c in o.conditions]), names)]
+                left = self.frame(rows).select(*keys, self.quads(statements).alias("quads"))
                 for n in names:
                     left = left.where(F.col(n) != "")
                 left = left.select(*names, F.explode("quads").alias("q"))
@@ -251,23 +266,23 @@ class Engine:
 
     def statements(self) -> DataFrame:
         """(s, p, o, g, t) of all asserted maps, repeats included; t are the targets that a statement is bound for."""
-        scans: dict[int, tuple[DataFrame, list[Column]]] = {}
+        scans: dict[int, tuple[Rows, list[Column]]] = {}
         parts: list[DataFrame] = []
         for m in self.mapping.maps.values():
             if not m.asserted:
                 continue
             rows = self.rows(m.source)
             found, [(after, containers)] = self.row_statements(rows, m)
-            arrays = [_quads(found)] if found else []
+            arrays = [self.quads(found)] if found else []
             for made, g in containers:
                 graph = g.column if g is not None else F.lit(None).cast("string")
-                arrays.append(F.transform(made, lambda x, graph=graph: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o"), graph.alias("g"), F.array().cast("array<string>").alias("t"))))
-            scans.setdefault(id(after.df), (after.df, []))[1].extend(arrays)
+                arrays.append(F.transform(made, lambda x, graph=graph: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o"), graph.alias("g"), self.bound(()).alias("t"))))
+            scans.setdefault(id(after), (after, []))[1].extend(arrays)
             parts += self.joined_statements(rows, m)
-        for df, arrays in scans.values():
+        for rows, arrays in scans.values():
             if arrays:
                 whole = F.concat(*[a.cast(f"array<{QUAD}>") for a in arrays]) if len(arrays) > 1 else arrays[0].cast(f"array<{QUAD}>")
-                parts.append(df.select(F.explode(whole).alias("q")).select("q.*"))
+                parts.append(self.frame(rows).select(F.explode(whole).alias("q")).select("q.*"))
         if not parts:
             return self.spark.createDataFrame([], "s string, p string, o string, g string, t array<string>")
         return reduce(DataFrame.unionByName, parts).where("s is not null and p is not null and o is not null")
@@ -280,11 +295,28 @@ class Engine:
     def by_target(self) -> dict[str | None, DataFrame]:
         """The graph's part for each target; None has what is bound for none."""
         all_ = self.statements()
-        out: dict[str | None, DataFrame] = {None: all_.where(F.size("t") == 0)}
+        out: dict[str | None, DataFrame] = {None: all_.where(F.coalesce(F.size("t") <= 0, F.lit(True)))}
         for t in self.mapping.targets:
             out[t] = all_.where(F.array_contains("t", t))
         return {t: df.select("s", "p", "o", "g").dropDuplicates() for t, df in out.items()}
 
+    def bound(self, targets: tuple[str, ...]) -> Column:
+        """The targets of a statement; null throughout where the mapping has none."""
+        if not self.mapping.targets:
+            return F.lit(None).cast("array<string>")
+        return F.array(*[F.lit(t) for t in targets]) if targets else F.array().cast("array<string>")
+
+    def quads(self, statements: list[Statement]) -> Column:
+        """All statements of a row in one array."""
+        plain, many = [], []
+        for x in statements:
+            g = x.g or single(F.lit(None).cast("string"))
+            targets = self.bound(x.targets)
+            made = _spread([x.s, x.p, x.o, g], lambda c, targets=targets: F.struct(c[0].alias("s"), c[1].alias("p"), c[2].alias("o"), c[3].alias("g"), targets.alias("t")))
+            (many if made.many else plain).append(made.column)
+        arrays = ([F.array(*plain)] if plain else []) + [F.coalesce(a, F.array().cast(f"array<{QUAD}>")) for a in many]
+        return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
     def predicates(self) -> Counter:
         """How often each constant predicate is used by the maps; a class assertion counts under its class."""
         out: Counter = Counter()
@@ -299,15 +331,3 @@ def _spread(values: list[Value], build) -> Value:
     from ..operators.terms import spread
 
     return spread(values, build)
-
-
-def _quads(statements: list[Statement], keep_null_object: bool = False) -> Column:
-    """All statements of a row in one array."""
-    plain, many = [], []
-    for x in statements:
-        g = x.g or single(F.lit(None).cast("string"))
-        targets = F.array(*[F.lit(t) for t in x.targets]) if x.targets else F.array().cast("array<string>")
-        made = _spread([x.s, x.p, x.o, g], lambda c, targets=targets: F.struct(c[0].alias("s"), c[1].alias("p"), c[2].alias("o"), c[3].alias("g"), targets.alias("t")))
-        (many if made.many else plain).append(made.column)
-    arrays = ([F.array(*plain)] if plain else []) + [F.coalesce(a, F.array().cast(f"array<{QUAD}>")) for a in many]
-    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]

@@ -61,7 +61,8 @@ def _flat(df: DataFrame, kind: str, tokens: tuple[str, ...] = (), fold: bool = F
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, **options) -> DataFrame:
-    """All columns as text; quoted cells may hold line ends and doubled quotes; empty cells are empty text."""
+    """All columns as text; quoted cells may hold line ends and doubled quotes; empty cells are empty text. With
+    multiLine off, cells hold no line ends and large files are split over tasks."""
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else ",")
     reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\u0000").option("sep", delimiter)
     for k, v in options.items():
@@ -330,11 +331,11 @@ class SparqlEndpoint(DataSource):
         return _EndpointReader(dict(self.options))
 
 
-def read(spark: SparkSession, source: Source, references: list[str], compat: bool = True) -> Rows:
+def read(spark: SparkSession, source: Source, references: list[str], options) -> Rows:
     """The rows of a source; references are all that a map reads of it."""
     if source.formulation == "CSV":
-        df = read_csv(spark, source.location)
-        tokens = (*(NULL_TOKENS if compat else ()), *source.null_values)
+        df = read_csv(spark, source.location, multiLine=options.csv_multiline)
+        tokens = (*(NULL_TOKENS if options.null_tokens else ()), *source.null_values)
         return _flat(df, "csv", tokens)
     if source.formulation == "JSONPath":
         return nested(read_json(spark, source.location, source.iterator, source.location.endswith((".jsonl", ".ndjson"))))

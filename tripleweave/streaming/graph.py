@@ -22,9 +22,8 @@ def stream_graph(mapping: Mapping, streams: dict[str, DataFrame], options: Optio
     for m in mapping.maps.values():
         rows = engine.rows(m.source)
         found, _ = engine.row_statements(rows, m)
-        from ..plans.engine import _quads
-
-        parts.append(rows.df.select(time_col, F.explode(_quads(found)).alias("q")).select(time_col, "q.s", "q.p", "q.o", "q.g"))
+        quads = engine.quads(found)
+        parts.append(engine.frame(rows).select(time_col, F.explode(quads).alias("q")).select(time_col, "q.s", "q.p", "q.o", "q.g"))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
