@@ -276,7 +276,7 @@ class Engine:
             arrays = [self.quads(found)] if found else []
             for made, g in containers:
                 graph = g.column if g is not None else F.lit(None).cast("string")
-                arrays.append(F.transform(made, lambda x, graph=graph: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o"), graph.alias("g"), self.bound(()).alias("t"))))
+                arrays.append(self.in_graph(made, graph))
             scans.setdefault(id(after), (after, []))[1].extend(arrays)
             parts += self.joined_statements(rows, m)
         for rows, arrays in scans.values():
@@ -300,6 +300,9 @@ class Engine:
             out[t] = all_.where(F.array_contains("t", t))
         return {t: df.select("s", "p", "o", "g").dropDuplicates() for t, df in out.items()}
 
+    def in_graph(self, statements: Column, graph: Column) -> Column:
+        return F.transform(statements, lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o"), graph.alias("g"), self.bound(()).alias("t")))
+
     def bound(self, targets: tuple[str, ...]) -> Column:
         """The targets of a statement; null throughout where the mapping has none."""
         if not self.mapping.targets:

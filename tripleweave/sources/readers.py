@@ -78,7 +78,7 @@ def csv_faults(spark: SparkSession, path: str, delimiter: str = ",") -> int:
     names = next(_csv.reader(io.StringIO(header[0]), delimiter=delimiter))
     schema = T.StructType([T.StructField(f"c{n}", T.StringType()) for n in range(len(names))] + [T.StructField("__fault", T.StringType())])
     df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__fault").option("sep", delimiter).csv(path)
-    return df.where("__fault is not null").select("__fault").count()
+    return df.agg(F.count("__fault"), *[F.max(f"c{n}") for n in range(len(names))]).first()[0]
 
 
 # --- JSON
