@@ -110,7 +110,7 @@ def near_copy(rng, words, share):
 @pytest.mark.parametrize("cell", [16, 16_384])
 def test_near_texts(spark, table, cell, monkeypatch):
     """Copies with a word in fifty changed are found, in one cell or many; unrelated texts of the same words are not."""
-    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.WIDE_RADIUS, 0.8, cell))
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.WIDE_RADIUS, 0.8, cell, 50, 131_072))
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [[rng.choice(vocabulary) for _ in range(rng.randint(60, 400))] for _ in range(120)]

@@ -132,8 +132,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 #: Bits, words of a shingle and radius with which whole near copies are found: at a similarity of 0.8 fingerprints of
 #: 256 bits differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
 WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 50
-#: Rows of one side of a task's comparison.
-CELL = 16_384
+#: Rows of one side of a task's comparison: a class is cut in cells of CELL rows, up to CELLS of them, so that rows go
+#: to a bounded number of tasks; only beyond CELLS x MOST rows does a class have more cells.
+CELL, CELLS, MOST = 2048, 6, 131_072
 
 
 def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, int]:
@@ -187,8 +188,8 @@ class Forest:
                 root[:] = up
 
 
-def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
-    """(a, b): edges that connect all nodes (columns node: fingerprint and size as bytes, fp, size) within radius bits and
+def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = 0.8, cell: int = CELL, cells_: int = CELLS, most: int = MOST) -> DataFrame:
+    """(a, b): edges that connect all nodes (columns node: fingerprint and size as bytes, size) within radius bits and
     of sizes that allow the similarity.
 
     Sizes fall into classes of the ratio `similarity`, so only equal and next classes are compared: by tiles, cells of a
@@ -196,8 +197,8 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float =
     counts differ beyond the radius are skipped. A task gives a forest, never all its pairs.
     """
     arrow_bounds(nodes.sparkSession)
-    classed = nodes.select("node", "fp", "size", F.when(F.col("size") < 1, -9).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9)).cast("int").alias("c"))
-    cells = cut(classed.groupBy("c").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("k")))
+    classed = nodes.select("node", "size", F.when(F.col("size") < 1, -9).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9)).cast("int").alias("c"))
+    cells = cut(classed.groupBy("c").agg(F.greatest(F.least(F.ceil(F.count("*") / F.lit(cell)), F.lit(cells_)), F.ceil(F.count("*") / F.lit(most))).cast("int").alias("k")))
     known = cells.select(F.col("c"), F.col("k"), F.lit(0).alias("by")).unionByName(cells.select((F.col("c") - 1).alias("c"), "k", F.lit(1).alias("by"))).unionByName(cells.select((F.col("c") + 1).alias("c"), "k", F.lit(-1).alias("by")))
     # one row a class, and classes grow with the logarithm of the longest text
     ks = F.broadcast(known.groupBy("c").agg(*[F.max(F.when(F.col("by") == by, F.col("k"))).alias(name) for by, name in ((0, "k"), (1, "above"), (-1, "under"))]).where("k is not null"))
@@ -209,14 +210,14 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float =
         F.transform(upto(F.coalesce("above", F.lit(0))), lambda x: pair(c, own, c + 1, x, F.lit(0))),
         F.transform(upto(F.coalesce("under", F.lit(0))), lambda x: pair(c - 1, x, c, own, F.lit(1))),
     )
-    dealt = classed.join(ks, "c").withColumn("own", F.pmod(F.xxhash64("fp"), "k").cast("int")).select("node", "fp", "size", F.explode(tasks).alias("t"))
-    keyed = dealt.select(F.xxhash64("t.p", "t.x", "t.q", "t.y").alias("task"), F.col("t.side").alias("side"), "node", "fp", "size")
+    dealt = classed.join(ks, "c").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).select("node", "size", F.explode(tasks).alias("t"))
+    keyed = dealt.select(F.xxhash64("t.p", "t.x", "t.q", "t.y").alias("task"), F.col("t.side").alias("side"), "node", "size")
     out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> pa.RecordBatch:
             side, sizes, names = table.column("side").to_numpy(), table.column("size").to_numpy(), table.column("node").combine_chunks()
-            lanes = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            lanes = np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(len(side), -1)[:, : WIDE // 64]
             bits = np.bitwise_count(lanes).sum(axis=1).astype(np.int64)
             left, right = (np.nonzero(side == x)[0] for x in (0, 1))
             left, right = left[np.argsort(bits[left], kind="stable")], right[np.argsort(bits[right], kind="stable")]
@@ -265,7 +266,7 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     fields = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
     prints = cut(per_text(df, work, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("node", F.concat("fp", F.unhex(F.lpad(F.hex("size"), 16, "0")))))
-    nodes = cut(prints.groupBy("node", "fp", "size").agg(F.min("id").alias("first")))
+    nodes = cut(prints.groupBy("node", "size").agg(F.min("id").alias("first")))
     roots = hinted(cut(components(wide_links(nodes, radius, similarity))))
     least = hinted(cut(nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))))
     classes = hinted(cut(nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component_id"))))
