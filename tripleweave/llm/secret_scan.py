@@ -75,7 +75,7 @@ def entropy_spans(text: str, start: int, width: int, thresholds: dict[str, float
     return out
 
 
-def scan(raw: bytes, width: int, thresholds: dict[str, float], allowed: re.Pattern) -> list[tuple]:
+def scan(raw: bytes, width: int, thresholds: dict[str, float], allowed: list[re.Pattern]) -> list[tuple]:
     """All findings of one text as (start, rank, end, kind, score), in order."""
     found: list[tuple] = []
     text = None
@@ -94,7 +94,7 @@ def scan(raw: bytes, width: int, thresholds: dict[str, float], allowed: re.Patte
         base = sorted((s, e) for s, _, e, _, _ in found)
         k, reach = 0, -1
         for m in CANDIDATE.finditer(text):
-            if allowed.fullmatch(m.group()):
+            if any(p.fullmatch(m.group()) for p in allowed):
                 continue
             for s, e, h in entropy_spans(m.group(), m.start(), width, thresholds):
                 while k < len(base) and base[k][0] <= s:
@@ -117,10 +117,10 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     table gives an empty table; other columns are neither read nor returned. Work is linear in the text, and a batch
     of texts is all that is held.
     """
-    limits, pattern = thresholds or THRESHOLDS, re.compile("|".join(f"(?:{x.replace('(?i)', '')})" for x in allow) or r"(?!)", re.I | re.S)
+    limits, allowed = thresholds or THRESHOLDS, [re.compile(x, re.S) for x in allow]
 
     def work(texts: list[bytes]) -> list[list]:
-        return [[[dict(zip(SPAN.names, x, strict=True)) for x in scan(raw, width, limits, pattern)] for raw in texts]]
+        return [[[dict(zip(SPAN.names, x, strict=True)) for x in scan(raw, width, limits, allowed)] for raw in texts]]
 
     return per_text(df, work, [T.StructField("findings", T.ArrayType(SPAN))], id_col, text_col)
 

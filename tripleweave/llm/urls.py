@@ -23,7 +23,7 @@ def ascii_lower(c: Column) -> Column:
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty for null and for text without ://."""
     has = F.coalesce(F.instr(url, "://") > 0, F.lit(False))
-    rest = F.expr("''") if url is None else F.regexp_extract(url, r"^(?s:.*?)://((?s:.*))$", 1)
+    rest = F.regexp_extract(url, r"^(?s:.*?)://((?s:.*))$", 1)
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.when(has, ascii_lower(host)).otherwise(""), F.when(has, path).otherwise("")
