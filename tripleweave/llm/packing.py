@@ -17,7 +17,7 @@ from .base import arrow_bounds, cut, id_and_text
 
 END = 0
 #: Entries and tokens that a worker's table of known words holds before it starts anew.
-WORDS, KNOWN = 500_000, 5_000_000
+WORDS, KNOWN = 300_000, 4_000_000
 
 
 def vocabulary() -> str:
@@ -107,6 +107,13 @@ class Words:
         return [np.append(flat[i:j], np.uint32(END)) for i, j in zip([0, *stops[:-1].tolist()], stops.tolist())]
 
 
+def words_for(path: str) -> Words:
+    """The worker's table for a vocabulary; a function of the module, so that tasks share what it keeps."""
+    if path not in _known:
+        _known[path] = Words(path)
+    return _known[path]
+
+
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the token ids of each whole text and an end id, in pieces of at most
     capacity. Null text has the end id alone."""
@@ -116,8 +123,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, t) for n, t in own)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _known.setdefault(path, None) or Words(path)
-        _known[path] = words
+        words = words_for(path)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for n, ids in enumerate(words.ids(batch.column(1))):
