@@ -147,3 +147,26 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [tuple(r) for r in spark.table("streamed").collect()] == [(E("1"), E("v"), '"a"')]
+
+
+def test_places_of_joined_values_and_xml_views(spark, tmp_path):
+    join = 'r:leftJoin [ r:parentLogicalView <#p> ; r:joinCondition [ r:child "k" ; r:parent "k" ] ; ' + ref("w") + " ]"
+    m = view("p", "p.csv", f"{ref('k')} ; {ref('w')}") + view("v", "c.csv", f"{ref('id')} ; {join}") + over("v", "http://ex.org/{id}", literal("x", "{w.#} {w}"))
+    got = triples(spark, tmp_path, m, c__csv="id,k\n1,a\n2,zz\n", p__csv="k,w\na,2\na,1\na,1\n")
+    assert [(s, o) for s, _, o in got] == [(E("1"), '"0 1"'), (E("1"), '"1 2"')]
+    fields = f'{ref("id", "@id")} ; r:field [ r:fieldName "kid" ; r:iterator "kids/kid" ; {ref("n", "name")} ; {ref("a", "@age")} ]'
+    m = view("x", "x.xml", fields, "ql:XPath", '; r:iterator "/all/one"') + over("x", "http://ex.org/{id}", literal("k", "{kid.#} {kid.n} {kid.a}"))
+    got = triples(spark, tmp_path, m, x__xml='<all><one id="1"><kids><kid age="3"><name>A</name></kid><kid age="4"><name>B</name></kid></kids></one><one id="2"></one></all>')
+    assert [(s, o) for s, _, o in got] == [(E("1"), '"0 A 3"'), (E("1"), '"1 B 4"')]
+
+
+def test_subject_keys_and_shared_items(spark):
+    from tripleweave.operators.terms import Options, Terms
+    from tripleweave.operators.views import shared_items
+    from tripleweave.sources.readers import flat
+
+    df = spark.createDataFrame([("a", "b", None), ("c", "c", "c")], "x string, y string, z string")
+    terms = Terms(flat(df, "csv"), Options())
+    key = terms.subject_key(["x", "y"])
+    assert [r[0] for r in terms.frame().select(key).collect()] == ["a_b", "c_c"]
+    assert [r[0] for r in df.select(shared_items([F.col("x"), F.col("z")], [F.col("y"), F.lit(None)])).collect()] == [1, 1]

@@ -152,6 +152,10 @@ class Terms:
             return Value(F.lit(None).cast("string"), STRING)
         return found
 
+    def subject_key(self, references_: list[str]) -> Column:
+        """The values of some references joined by _: what tells subjects apart."""
+        return F.concat_ws("_", *[self.reference(r).column for r in references_])
+
     # --- texts without marks
 
     def reference(self, reference: str) -> Value:

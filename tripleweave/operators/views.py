@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from ..plans.model import Field, JoinCondition, TermMap, View
-from ..sources.paths import segments
+from ..sources.paths import segments, xpath_segments
 from ..sources.readers import Rows, _column, flat, iterate, read
 from .terms import Terms, references
 
@@ -105,20 +105,22 @@ def _nested_rows(rows: Rows, terms: Terms, f: Field) -> Column:
         return _embedded_json(terms.reference(f.term.value if f.term else f.name).column, f.iterator, f.fields)
     from ..sources.paths import compile_path
 
-    kind = rows.df.schema["item"].dataType
-    steps = [s for s in segments(f.iterator)]
+    item = "item" if "item" in rows.df.columns else max((c for c in rows.df.columns if c.startswith("up")), key=lambda c: int(c[2:]))
+    kind = rows.df.schema[item].dataType
+    parse = segments if rows.kind == "json" else xpath_segments
+    steps = parse(f.iterator)
     while steps and steps[-1] == ("all",):
         steps.pop()
     found = _list_at(kind, steps)
     if found is None:
         return F.lit(None).cast("array<struct<" + ",".join(f"`{x.name}`:string" for x in f.fields) + ">>")
-    column, element = found[0](F.col("item")), found[1]
+    column, element = found[0](F.col(item)), found[1]
 
     def build(x: Column) -> Column:
         out = []
         for sub in f.fields:
             reference = sub.term.value if sub.term else sub.name
-            inner = compile_path(element, segments(reference)) if reference.strip() not in ("$", "@") else ((lambda c: c), element, False)
+            inner = compile_path(element, parse(reference)) if reference.strip() not in ("$", "@", ".") else ((lambda c: c), element, False)
             if inner is None or isinstance(inner[1], T.StructType | T.MapType):
                 out.append(F.lit(None).cast("string").alias(sub.name))
             elif inner[2]:  # the last of several
@@ -187,8 +189,13 @@ def _joined(engine, df: DataFrame, n: int, j) -> DataFrame:
     side = terms.frame().select(*keys, *fields)
     for k in names:
         side = side.where(F.col(k) != "")
+    side = side.distinct()
+    placed = [f.name for f in j.fields if f"{f.name}.#" in _wanted(engine)]
+    if placed:  # places among a key's matches, in the order of their values
+        place = (F.row_number().over(Window.partitionBy(*names).orderBy(*[_column(f.name) for f in j.fields])) - 1).cast("string")
+        side = side.select("*", *[place.alias(f"{name}.#") for name in placed])
     on = reduce(lambda x, y: x & y, [F.col(f"__key{n}_{i}") == F.col(k) for i, k in enumerate(names)])
-    return df.join(side.distinct(), on, "left" if j.kind == "left" else "inner").drop(*names, *[f"__key{n}_{i}" for i in range(len(names))])
+    return df.join(side, on, "left" if j.kind == "left" else "inner").drop(*names, *[f"__key{n}_{i}" for i in range(len(names))])
 
 
 def _view_source(parent: str):
@@ -197,12 +204,21 @@ def _view_source(parent: str):
     return Source(parent, "View")
 
 
-def _uses_index(engine, view: View) -> bool:
-    """Whether anything refers to the row's place: it costs a count of the rows."""
-    wanted = {r for m in engine.mapping.maps.values() if m.source.location == view.id for r in engine.map_references(m)}
+def _wanted(engine) -> set[str]:
+    """All that maps and views refer to."""
+    wanted = {r for m in engine.mapping.maps.values() for r in engine.map_references(m)}
     wanted |= {r for v in engine.mapping.views.values() for f in v.fields for r in references(f.term)}
-    wanted |= {r for v in engine.mapping.views.values() for j in v.joins for f in j.fields for r in references(f.term)}
-    return "#" in wanted
+    return wanted | {r for v in engine.mapping.views.values() for j in v.joins for f in j.fields for r in references(f.term)}
+
+
+def _uses_index(engine, view: View) -> bool:
+    """Whether anything refers to a row's place: it costs a count of the rows."""
+    return "#" in _wanted(engine)
+
+
+def shared_items(left: list[Column], right: list[Column]) -> Column:
+    """How many pairs of columns are equal, nulls included."""
+    return reduce(lambda a, b: a + b, [x.eqNullSafe(y).cast("int") for x, y in zip(left, right)])
 
 
 __all__ = ["Field", "JoinCondition", "TermMap", "distinct_items", "flatten_lists", "flatten_struct", "has_nested", "iterate", "row_index", "view_rows"]

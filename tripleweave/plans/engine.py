@@ -321,12 +321,19 @@ class Engine:
         return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
     def predicates(self) -> Counter:
-        """How often each constant predicate is used by the maps; a class assertion counts under its class."""
+        """How often each constant predicate is used by the maps; a class assertion counts under its class, and
+        predicates that relate terms of a vocabulary count with their objects."""
         out: Counter = Counter()
         for m in self.mapping.maps.values():
             out.update(m.subject.classes)
             for pom in m.poms:
-                out.update(p.value.value for p in pom.predicates if p.form == "constant" and isinstance(p.value, Iri))
+                for p in pom.predicates:
+                    if p.form != "constant" or not isinstance(p.value, Iri):
+                        continue
+                    if p.value.value.endswith(("subClassOf", "sameAs", "seeAlso", "subPropertyOf")):
+                        out.update(f"{p.value.value} {getattr(o.value, 'value', o.value)}" if isinstance(o, TermMap) else p.value.value for o in pom.objects)
+                    else:
+                        out[p.value.value] += 1
         return out
 
 
