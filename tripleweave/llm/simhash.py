@@ -134,7 +134,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 50
 #: Rows of one side of a task's comparison: a class is cut in cells of CELL rows, up to CELLS of them, so that rows go
 #: to a bounded number of tasks; only beyond CELLS x MOST rows does a class have more cells.
-CELL, CELLS, MOST = 2048, 6, 131_072
+CELL, CELLS, MOST = 2048, 4, 131_072
 
 
 def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, int]:
