@@ -124,3 +124,49 @@ def test_near_texts_edges(table, edge_rows):
     got = [(r["doc_id"], r["component_id"]) for r in simhash.near_texts(table(edge_rows)).collect()]
     assert len(got) == len(edge_rows) and {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (None, 1), (None, 4)} <= set(got)
     assert simhash.one_of_each(table([])).count() == 0
+
+
+def plain_near(rows, similarity=0.8):
+    """[(id, text)] -> {id: least id reached over pairs of the similarity or more}, by sets of five-word shingles."""
+    sets = []
+    for k, text in rows:
+        words = text.lower().split()
+        sets.append((k, {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}))
+    root = {k: k for k, _ in rows}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if root[a] != root[b] and len(x & y) >= similarity * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def boundary_rows(pairs):
+    """Pairs on both sides of a similarity of 0.8: a text, and it without its last `less` words and with `more` others."""
+    rng = random.Random(5)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n, less, more in pairs:
+        text = words(n)
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[: n - less] + words(more)))]
+    return rows
+
+
+def near_of(df):
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df).collect()}
+
+
+def test_near_texts_drop_only_confirmed_pairs(table):
+    """Pairs of a similarity from 0.65 to just under 0.8 are no near copies."""
+    rows = boundary_rows([(104, 11, 11), (104, 12, 12), (104, 15, 15), (304, 33, 33), (304, 34, 34), (304, 50, 50), (304, 0, 75), (304, 0, 76)] * 6)
+    assert near_of(table(rows)) == plain_near(rows)
+
+
+@pytest.mark.parametrize("cell", [3, 512])
+def test_confirmed_in_cells(spark, cell, monkeypatch):
+    """Chains of sets, whole and in cells: only pairs of the similarity link."""
+    sets = [set(range(k, k + 90)) for k in range(0, 100, 10)] + [set(range(k, k + 90)) for k in range(120, 400, 11)]
+    rows = [(b"r", f"{i:03}".encode(), len(s), np.sort(np.array(list(s), np.uint64)).tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "root binary, node binary, size long, shingles binary")
+    found = {bytes(r["node"]): bytes(r["root"]) for r in components(simhash.confirmed(df, 0.8, cell)).collect()}
+    assert found == {f"{i:03}".encode(): b"000" for i in range(10)}

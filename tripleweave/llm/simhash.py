@@ -129,42 +129,49 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("rows").alias("fingerprint_rows"))
 
 
-#: Bits, words of a shingle and radius with which whole near copies are found: at a similarity of 0.8 fingerprints of
-#: 256 bits differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
+#: Bits, words of a shingle and radius by which candidates are found: at a similarity of 0.8 fingerprints of 256 bits
+#: differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
 WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 50
+#: Pairs in which a text has at most so many shingles meet by shared least shingles, which misses none.
+SHORT = 0
+#: Rows and shingles of one side of a task of exact comparison.
+SETS, SET_SHINGLES = 512, 1 << 20
 #: Rows of one side of a task's comparison: a class is cut in cells of CELL rows, up to CELLS of them, so that rows go
 #: to a bounded number of tasks; only beyond CELLS x MOST rows does a class have more cells.
 CELL, CELLS, MOST = 2048, 4, 131_072
 
 
-def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, int]:
-    """256 majority bits over two 128-bit hashes of each shingle, and the count of shingles (0 without words)."""
+def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, np.ndarray]:
+    """256 majority bits over two 128-bit hashes of each shingle, and the sorted 64-bit hashes of the distinct
+    shingles (none without words)."""
     from xxhash import xxh3_128_digest
 
     words = raw.lower().split()
     if not words:
-        return bytes(WIDE // 8), 0
+        return bytes(WIDE // 8), np.empty(0, np.uint64)
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
-    spans = list(zip(np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist()))
-    counts = []
+    spans = [body[i:j] for i, j in zip(np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist())]
+    n, counts, keys = len(spans), [], np.empty(0, np.uint64)
     for seed in (42, 43):
-        lanes = np.frombuffer(b"".join([xxh3_128_digest(body[i:j], seed) for i, j in spans]), np.uint8).reshape(n, 16)
+        lanes = np.frombuffer(b"".join([xxh3_128_digest(x, seed) for x in spans]), np.uint8).reshape(n, 16)
+        keys = keys if len(keys) else lanes.view(np.uint64)[:, 0]
         counts += [np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(16)] if n > 64 else [np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0)]
-    return np.packbits(np.concatenate(counts) * 2 > n, bitorder="little").tobytes(), n
+    return np.packbits(np.concatenate(counts) * 2 > n, bitorder="little").tobytes(), np.unique(keys)
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs within radius bits (rows of four 64-bit lanes) whose sizes allow the similarity. Two lanes are
-    counted for all pairs, the others only where the first two are within the radius."""
+    """Indices of pairs within radius bits (rows of four 64-bit lanes) whose sizes allow the similarity. Three lanes are
+    counted for all pairs, the last only where these are within the radius."""
     near = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
     near += np.bitwise_count(left[:, None, 1] ^ right[None, :, 1])
+    near += np.bitwise_count(left[:, None, 2] ^ right[None, :, 2])
     i, j = np.nonzero(near <= radius)
     if len(i):
-        some = near[i, j].astype(np.int64) + np.bitwise_count(left[i, 2:] ^ right[j, 2:]).sum(axis=1) <= radius
+        some = near[i, j].astype(np.int64) + np.bitwise_count(left[i, 3:] ^ right[j, 3:]).sum(axis=1) <= radius
         i, j = i[some], j[some]
-        alike = np.minimum(left_sizes[i], right_sizes[j]) >= similarity * np.maximum(left_sizes[i], right_sizes[j])
+        alike = np.minimum(left_sizes[i], right_sizes[j]) >= similarity * np.maximum(left_sizes[i], right_sizes[j]) - 1e-9
         i, j = i[alike], j[alike]
     return i, j
 
@@ -189,7 +196,7 @@ class Forest:
 
 
 def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = 0.8, cell: int = CELL, cells_: int = CELLS, most: int = MOST) -> DataFrame:
-    """(a, b): edges that connect all nodes (columns node: fingerprint and size as bytes, size) within radius bits and
+    """(a, b): edges that connect all nodes (columns node: bytes that begin with the fingerprint, size) within radius bits and
     of sizes that allow the similarity.
 
     Sizes fall into classes of the ratio `similarity`, so only equal and next classes are compared: by tiles, cells of a
@@ -197,7 +204,7 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float =
     counts differ beyond the radius are skipped. A task gives a forest, never all its pairs.
     """
     arrow_bounds(nodes.sparkSession)
-    classed = nodes.select("node", "size", F.when(F.col("size") < 1, -9).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9)).cast("int").alias("c"))
+    classed = nodes.select("node", "size", F.when(F.col("size") < 1, -9).otherwise(class_of(F.col("size"), similarity)).alias("c"))
     cells = cut(classed.groupBy("c").agg(F.greatest(F.least(F.ceil(F.count("*") / F.lit(cell)), F.lit(cells_)), F.ceil(F.count("*") / F.lit(most))).cast("int").alias("k")))
     known = cells.select(F.col("c"), F.col("k"), F.lit(0).alias("by")).unionByName(cells.select((F.col("c") - 1).alias("c"), "k", F.lit(1).alias("by"))).unionByName(cells.select((F.col("c") + 1).alias("c"), "k", F.lit(-1).alias("by")))
     # one row a class, and classes grow with the logarithm of the longest text
@@ -255,19 +262,109 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float =
     return keyed.repartition("task").sortWithinPartitions("task").mapInArrow(compare, out)
 
 
+def class_of(size, similarity: float):
+    """Sizes by powers of 1 / similarity: those that the similarity allows are of one class or of two in turn."""
+    return F.floor(F.log(size.cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9).cast("int")
+
+
+def short_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): edges that connect all nodes (columns node, size, least: the least hashes of their shingles) which share
+    one of these and whose sizes may allow the similarity. Sets of n shingles that are so similar share one of the
+    n - ceil(similarity x n) + 1 least of each."""
+    c = class_of(F.col("size"), similarity)
+    keyed = cut(nodes.where("size > 0").select("node", F.explode("least").alias("key"), c.alias("c")).select("node", "key", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c")))
+    first = hinted(cut(keyed.groupBy("key", "c").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "c", "b")))
+    return keyed.join(first, ["key", "c"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of the sets the place of the first one that pairs of the similarity (shared by all) or more lead to.
+    From each set reached, only sets not yet reached are compared, and of these only the sizes that allow it."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    root, left = np.arange(len(sets)), np.argsort(sizes, kind="stable")
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(values), bool)
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        group = list(reached)
+        while reached and len(left):
+            at = reached.pop()
+            size, known = sizes[at], sizes[left]
+            lo, hi = np.searchsorted(known, size * similarity - 1e-6), np.searchsorted(known, size / similarity + 1e-6, "right")
+            some = left[lo:hi]
+            if not len(some):
+                continue
+            own, many = codes[starts[at] : starts[at] + size], sizes[some]
+            ends = np.cumsum(many)
+            mark[own] = True
+            shared = np.add.reduceat(mark[codes[np.repeat(starts[some] - ends + many, many) + np.arange(ends[-1])]], ends - many, dtype=np.int64)
+            mark[own] = False
+            hit = shared >= similarity * (size + many - shared) - 1e-9
+            reached += some[hit].tolist()
+            group += some[hit].tolist()
+            left = np.concatenate([left[:lo], some[~hit], left[hi:]])
+        root[group] = min(group)
+    return root
+
+
+def confirmed(sets: DataFrame, similarity: float = 0.8, rows: int = SETS, shingles: int = SET_SHINGLES) -> DataFrame:
+    """(a, b): edges that connect all nodes (columns root: group of candidates, node, size, shingles: sorted hashes as
+    bytes) of a group whose sets are similar, computed exactly. A group is one task; a large one is cut in cells of
+    about so many rows or shingles, and each pair of cells is a task."""
+    arrow_bounds(sets.sparkSession)
+    large = hinted(cut(sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(rows), F.sum("size") / F.lit(shingles))).cast("int").alias("k")).where("k > 1")))
+    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = sets.join(large, "root", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", own).select("root", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    keyed = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
+    out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(names: list[bytes], bodies: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+            root = similar([np.frombuffer(x, np.uint64) for x in bodies], similarity)
+            member = np.nonzero(root != np.arange(len(root)))[0]
+            return [names[k] for k in member], [names[k] for k in root[member]]
+
+        task, names, bodies = None, [], []
+        for batch in batches:
+            a, b = [], []
+            for t, name, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if t != task and len(names) > 1:
+                    for held, more in zip((a, b), found(names, bodies)):
+                        held += more
+                if t != task:
+                    task, names, bodies = t, [], []
+                names.append(name), bodies.append(body)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        if len(names) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found(names, bodies)], names=["a", "b"])
+
+    return keyed.repartition("task").sortWithinPartitions("task").mapInArrow(compare, out)
+
+
 def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id), one row for each row of df: classes of texts about as similar as `similarity` or more by
-    shingles of five words, repeats included, over links of wide fingerprints. Texts without words are one class. Other
-    cases as in near_copies()."""
+    """(id, component_id), one row for each row of df: classes of texts that pairs of the similarity or more connect,
+    by their sets of shingles of five words (repeats count once). Wide fingerprints, and shared shingles of short texts,
+    only name candidates; each link is confirmed on the sets (of 64-bit hashes). Texts without words are one class.
+    Other cases as in near_copies()."""
+    from xxhash import xxh3_64_digest
+
+    both = int(SHORT / similarity + 1e-9)
 
     def work(texts: list[bytes]) -> list[list]:
         found = [wide_fingerprint(x, shingle) for x in texts]
-        return [[f for f, _ in found], [n for _, n in found]]
-
-    fields = [T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())]
-    prints = cut(per_text(df, work, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("node", F.concat("fp", F.unhex(F.lpad(F.hex("size"), 16, "0")))))
-    nodes = cut(prints.groupBy("node", "size").agg(F.min("id").alias("first")))
-    roots = hinted(cut(components(wide_links(nodes, radius, similarity))))
+        bodies = [s.tobytes() for _, s in found]
+        least = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view(np.int64).tolist() if 0 < len(s) <= both else None for _, s in found]
+        return [[f + xxh3_64_digest(x) for (f, _), x in zip(found, bodies)], [len(s) for _, s in found], least, bodies]
+
+    fields = [T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("least", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
+    prints = cut(per_text(df, work, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("row", F.monotonically_increasing_id()))
+    nodes = cut(prints.groupBy("node", "size").agg(F.min("id").alias("first"), F.min("row").alias("row")))
+    short = prints.where("least is not null").join(hinted(cut(nodes.where(F.col("size") <= both).select("row"))), "row", "left_semi")
+    candidates = hinted(cut(components(wide_links(nodes.where(F.col("size") > SHORT), radius, similarity).unionByName(short_links(short, similarity)))))
+    chosen = hinted(cut(nodes.join(candidates, "node").select("row", "root")))
+    sets = cut(prints.join(chosen, "row").select("root", "node", "size", "shingles"))
+    roots = hinted(cut(components(confirmed(sets, similarity))))
     least = hinted(cut(nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))))
     classes = hinted(cut(nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component_id"))))
     return prints.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
