@@ -162,6 +162,11 @@ def test_near_texts_drop_only_confirmed_pairs(table):
     assert near_of(table(rows)) == plain_near(rows)
 
 
+def test_near_texts_miss_no_short_pair(table):
+    rows = boundary_rows([(8, 0, 1), (8, 0, 2), (16, 0, 3), (16, 0, 4), (36, 0, 8), (36, 0, 9), (44, 0, 10), (44, 0, 11), (24, 2, 2), (24, 3, 3)] * 6)
+    assert near_of(table(rows)) == plain_near(rows)
+
+
 @pytest.mark.parametrize("cell", [3, 512])
 def test_confirmed_in_cells(spark, cell, monkeypatch):
     """Chains of sets, whole and in cells: only pairs of the similarity link."""

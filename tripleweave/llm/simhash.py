@@ -131,9 +131,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 #: Bits, words of a shingle and radius by which candidates are found: at a similarity of 0.8 fingerprints of 256 bits
 #: differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 50
+WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 72
 #: Pairs in which a text has at most so many shingles meet by shared least shingles, which misses none.
-SHORT = 0
+SHORT = 32
 #: Rows and shingles of one side of a task of exact comparison.
 SETS, SET_SHINGLES = 512, 1 << 20
 #: Rows of one side of a task's comparison: a class is cut in cells of CELL rows, up to CELLS of them, so that rows go
