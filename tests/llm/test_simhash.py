@@ -167,6 +167,16 @@ def test_near_texts_miss_no_short_pair(table):
     assert near_of(table(rows)) == plain_near(rows)
 
 
+def test_near_texts_count_repeats_once(table):
+    """A line ten times over neither links texts that share nothing else nor parts those that differ in it alone."""
+    rng = random.Random(6)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    line, body = words(16), words(120)
+    rows = [(i, " ".join(line * 10 + words(60))) for i in range(12)] + [(20, " ".join(body + line)), (21, " ".join(body + line * 10))]
+    want = plain_near(rows)
+    assert want[21] == 20 and want[11] == 11 and near_of(table(rows)) == want
+
+
 @pytest.mark.parametrize("cell", [3, 512])
 def test_confirmed_in_cells(spark, cell, monkeypatch):
     """Chains of sets, whole and in cells: only pairs of the similarity link."""

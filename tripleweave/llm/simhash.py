@@ -142,7 +142,7 @@ CELL, CELLS, MOST = 2048, 4, 131_072
 
 
 def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, np.ndarray]:
-    """256 majority bits over two 128-bit hashes of each shingle, and the sorted 64-bit hashes of the distinct
+    """256 majority bits over two 128-bit hashes of each distinct shingle, and the sorted 64-bit hashes of the distinct
     shingles (none without words)."""
     from xxhash import xxh3_128_digest
 
@@ -152,7 +152,7 @@ def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, np
     body = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
-    spans = [body[i:j] for i, j in zip(np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist())]
+    spans = {body[i:j] for i, j in zip(np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist())}
     n, counts, keys = len(spans), [], np.empty(0, np.uint64)
     for seed in (42, 43):
         lanes = np.frombuffer(b"".join([xxh3_128_digest(x, seed) for x in spans]), np.uint8).reshape(n, 16)
