@@ -98,3 +98,12 @@ def test_iban_and_context(spark, table):
     got = {r["doc_id"]: [(f["kind"], f["score"]) for f in r["findings"] if f["kind"] in ("iban", "phone")] for r in pii.find_personal_data(table(rows)).collect()}
     assert got[1] == [("iban", 1.0)] and got[2] == [] and got[5] == [("iban", 0.5)]
     assert got[3][0][1] > got[4][0][1]
+
+
+def test_iban_before_upper_case_words():
+    """The word after a code is not part of it, and a code may follow another."""
+    ibans = lambda t: [t[s:e] for s, _, e, kind, _ in pii.scan(t.encode(), 48, 0.5) if kind == "iban"]
+    assert ibans("ES91 2100 0418 4502 0005 1332 EUR") == ["ES91 2100 0418 4502 0005 1332"]
+    assert ibans("BE68 5390 0754 7034 BIC GKCC") == ["BE68 5390 0754 7034"]
+    assert ibans("BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332") == ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"]
+    assert ibans("ES91 2100 0418 4502 0005 1333 EUR") == []

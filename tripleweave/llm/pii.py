@@ -45,6 +45,15 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """The last end of a code from start, at a group border up to end, that mod-97 confirms."""
+    while end > start:
+        if mod97(text[start:end].replace(" ", "")):
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses in time linear in the text: from each domain back to the local part."""
     out, done = [], 0
@@ -80,9 +89,12 @@ def scan(raw: bytes, reach: int, least: float) -> list[tuple]:
             if m.end() - m.start() >= 12 and 12 <= len(code := m.group().replace(" ", "").replace("-", "")) <= 19 and luhn(code):
                 spans.append((m.start(), 2, m.end(), "card"))
     found = [(*x, score(text, x[0], x[2], x[3], reach)) for x in spans]
-    for m in IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")) and (value := score(text, m.start(), m.end(), "iban", reach)) >= least:
-            found.append((m.start(), 4, m.end(), "iban", value))
+    at = 0
+    while m := IBAN.search(text, at):
+        end = iban_end(text, *m.span())
+        if end and (value := score(text, m.start(), end, "iban", reach)) >= least:
+            found.append((m.start(), 4, end, "iban", value))
+        at = end or m.end()
     return sorted(found)
 
 
