@@ -186,3 +186,11 @@ def test_aliases(spark):
     got = {k: v[3] for k, v in judged(spark, rows, redirects=redirects).items()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow", 8: "allow", 9: "allow", 10: "allow"}
     assert judged(spark, []) == {}
+
+
+def test_all_links_of_a_page(spark):
+    """Second canonical links and refreshes carry a block too."""
+    link, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [(1, "http://a.org/x", link.format("http://b.org/") + link.format("http://c.net/es/1")), (2, "http://d.org/y", fresh.format("http://b.org/2") + fresh.format("http://c.net/fr/1"))]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: (r["verdict"], r["cause"]) for r in got} == {1: ("block", "alias"), 2: ("block", "alias")}

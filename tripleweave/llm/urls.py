@@ -58,13 +58,14 @@ _ATTR = r"""\s*=\s*["']?([^"'\s>]*)"""
 
 
 def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): from each page to its canonical link and the target of its refresh, where its markup has them."""
+    """(a, b): from each page to all its canonical links and the targets of its refreshes."""
     html, url = F.col(html_col), F.col(url_col)
-    canonical = F.regexp_extract(html, r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    refresh = F.regexp_extract(html, r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    found = pages.where(html.isNotNull() & url.isNotNull()).select(url.alias("url"), canonical.alias("canonical"), refresh.alias("refresh")).where("canonical <> '' or refresh <> ''")
-    targets = F.array(F.regexp_extract("canonical", r"(?i)\bhref" + _ATTR, 1), F.regexp_extract("refresh", r"(?i)\burl" + _ATTR, 1))
-    return found.select("url", F.explode(targets).alias("target")).where("target <> ''").select(page_key(F.col("url")).alias("a"), page_key(absolute(F.col("target"), F.col("url"))).alias("b"))
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    canonical = tags(r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)")
+    refresh = tags(r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)")
+    targets = F.concat(F.transform(canonical, lambda x: F.regexp_extract(x, r"(?i)\bhref" + _ATTR, 1)), F.transform(refresh, lambda x: F.regexp_extract(x, r"(?i)\burl" + _ATTR, 1)))
+    found = pages.where(html.isNotNull() & url.isNotNull()).select(url.alias("url"), F.explode(targets).alias("target"))
+    return found.where("target <> ''").select(page_key(F.col("url")).alias("a"), page_key(absolute(F.col("target"), F.col("url"))).alias("b"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
