@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .base import cut, hinted
+from .base import cut, hinted, uncut
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return hinted(cut(edges.groupBy("a").agg(F.min("b").alias("m"))))
+    return cut(edges.groupBy("a").agg(F.min("b").alias("m")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,8 +16,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating stars: each node hands its larger neighbours, then its smaller ones, to the least node it knows, until
     nothing changes; the rounds grow with the logarithm of the size. Each round is a written table, so a lost executor
-    costs one round. The least node of each neighbourhood is aggregated map-side, and joined to the edges by broadcast
-    when it is small, else by a join whose large keys the engine splits; no neighbourhood is gathered anywhere.
+    costs one round, and the tables of a round go when the next is written. The least node of each neighbourhood is
+    aggregated map-side, and joined to the edges by broadcast when it is small in bytes, else by a join whose large keys
+    the engine splits; no neighbourhood is gathered anywhere.
     Null ends, loops and repeated edges add nothing; no edges give an empty table.
     """
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
@@ -28,11 +29,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while mark[0]:
         both = cut(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = _least(both)
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = both.join(hinted(least), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = cut(large.where("a <> b").distinct())
-        least = _least(large)
-        small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        lower = _least(large)
+        small = large.join(hinted(lower), "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        after = cut(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
+        uncut(now, both, least, large, lower)
+        now = after
         before, mark = mark, sign(now)
         if mark == before:
             break
