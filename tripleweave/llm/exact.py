@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import cut, hinted
+from .base import cut, fresh, hinted, own_columns, unrolled
 
 
 def normalised(text: Column) -> Column:
@@ -45,25 +45,35 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
         placed = alone.select("id", "h", "sha", "n", "keep", "size").unionByName(met.select("id", "h", "sha", "n", "keep", "size"))
     size = F.coalesce("size", "n")
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
-    once = placed.select("id", "h", "sha", keep.alias("keep"), size.alias("size"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    return once.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"), F.col("h").alias("digest"))
+    once = unrolled(cut(placed.select("id", "h", "sha", keep.alias("keep"), size.alias("size"), "n")), "n", "copy")
+    return once.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep")) & (F.col("copy") == 0)).alias("kept"), F.col("sha").alias("text_sha256"), F.col("h").alias("digest"))
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group of equal texts, all its columns as they are. The list of what goes is broadcast
-    only when its counted rows are few."""
-    key = "__digest_of_text"
-    keys = [F.col("id"), F.col("digest")]
-    found = cut(copies(df, id_col, text_col).groupBy(F.col(id_col).alias("id"), "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")))
-    keyed = df.withColumn(key, content_hash(normalised(F.col(text_col))))
+def kept_rows(df: DataFrame, found: DataFrame, id_col: str, digest: Column) -> DataFrame:
+    """df without the rows of which found (id, digest, stays, rows: already cut, one row for each different pair) says
+    that they go, and with one row of each pair that stays and has several. All columns as they are, whatever their
+    names. What goes is broadcast only when it is small, measured in bytes; else a shuffled join takes it."""
+    (key,) = fresh(df, "__digest")
+    keyed = df.withColumn(key, digest)
     match = lambda side: keyed[id_col].eqNullSafe(side["id"]) & (keyed[key] == side["digest"])
-    gone = hinted(cut(found.where(~F.col("stays")).select(*keys)))
+    gone = hinted(cut(found.where(~F.col("stays")).select("id", "digest")))
     out = keyed.join(gone, match(gone), "left_anti")
-    again = cut(found.where(F.col("stays") & (F.col("rows") > 1)).select(*keys))
+    again = cut(found.where(F.col("stays") & (F.col("rows") > 1)).select("id", "digest"))
     if not again.isEmpty():
         again = hinted(again)
         out = out.join(again, out[id_col].eqNullSafe(again["id"]) & (out[key] == again["digest"]), "left_anti").unionByName(keyed.join(again, match(again), "left_semi").dropDuplicates([id_col, key]))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.select(*own_columns(df))
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group of equal texts, all its columns as they are.
+
+    Null text is empty text, so of all rows without text one stays; of equal rows the one with the smallest id stays, of
+    rows repeated with their id one, and a row without id only where its group has no other. Long texts are compared
+    whole; columns of any names pass through; an empty table gives an empty table.
+    """
+    found = cut(copies(df, id_col, text_col).groupBy(F.col(id_col).alias("id"), "digest").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")))
+    return kept_rows(df, found, id_col, content_hash(normalised(F.col(text_col))))
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
