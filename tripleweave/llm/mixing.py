@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import cut, hinted
+from .base import cut, fresh, hinted, own_columns, unrolled
 
 #: A schedule: (training time from 0 to 1, relative weight) knots, linear between them. Sources take them in turn.
 Schedule = Sequence[tuple[float, float]]
@@ -50,39 +51,70 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     return levels.withColumn("met", met).select("source", "source_size", "turn", F.when(F.col("met").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("met") * F.col("weight"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
-    """(id, size, source_size, target, copies, taken, positions), one row for each row of df.
+def order_key(id_col: str, text_col: str) -> Column:
+    """Where a row stands in its source's stream: the MD5 of its id and its text's MD5, so that neither an id nor a text
+    of many rows makes a hot range; only rows of one id and one text share it."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(" "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
 
-    Sizes are words. Each source is a stream in the order of the MD5 of its ids, repeated without end; it gives
-    documents whole while half of the next still lies under its target, so it ends within half a document of it. With
-    targets up to cap x a source's size, no document is taken more than ceil(cap) times. positions holds a training
-    time between 0 and 1 for each copy: where the source's integrated schedule reaches the copy's middle word.
 
-    Null text has no words; a null source is a source of its own, last in turn; rows with one id share their order,
-    ties by size. An empty table gives an empty table; other columns are neither read nor returned. Nothing depends on
-    how rows are dealt, so reruns agree. Order within a source is found in two steps, sums of ranges of the MD5, then
-    places within a range, so that a source with most of the rows is spread over many tasks.
-    """
-    rows = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("order")))
-    known = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
-    digits = max(1, math.ceil(math.log(max(1, rows.count() / 256), 16)))
+#: A range of order keys holds about so many different rows; ranges are summed in groups of 16 ** GROUP at most.
+RANGE_ROWS, GROUP = 256, 3
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """(source, turn, id, size, order, n, source_size, target, before): each different row of df and how many times (n) it is there, with
+    the words of its source that come before it; and the sources' targets. Both are written tables."""
+    each = df.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), order_key(id_col, text_col).alias("order"))
+    rows = cut(each.groupBy("source", "id", "size", "order").agg(F.count("*").alias("n")))
+    known = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))
     few = hinted(known)
-    placed = rows.join(few, rows["source"].eqNullSafe(few["source"])).select("id", "size", "order", "source_size", "turn", "target", F.substring("order", 1, digits).alias("range"))
-    sums = placed.groupBy("turn", "range").agg(F.sum("size").alias("words"))
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("turn", "range", F.coalesce(F.sum("words").over(before("turn").orderBy("range")), F.lit(0)).alias("start"))
-    within = F.coalesce(F.sum("size").over(before("turn", "range").orderBy("order", "id", "size")), F.lit(0))
-    middle = (F.col("start") + F.col("within")).cast("double") + F.col("size") / F.lit(2.0)
-    offsets = placed.withColumn("within", within).join(starts, ["turn", "range"]).withColumn("middle", middle)
-    epochs = math.ceil(cap)
-    at = [F.when((F.col("size") > 0) & (F.col("middle") + F.col("source_size") * F.lit(float(e)) <= F.col("target")), F.col("middle") + F.col("source_size") * F.lit(float(e))) for e in range(epochs)]
+    placed = rows.join(few, rows["source"].eqNullSafe(few["source"])).select(rows["source"], "turn", "id", "size", "order", "n", "source_size", "target", F.substring("order", 1, digits).alias("range"))
+    earlier = lambda column, *by: F.coalesce(F.sum(column).over(Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # sums of ranges, then of their groups, and of groups of groups: no window has more than 16 ** GROUP rows of a source
+    starts = cut(placed.groupBy("turn", "range").agg(F.sum(F.col("size") * F.col("n")).alias("words")))
+    start, level, length = starts.select("turn", "range", F.lit(0).cast("long").alias("start")), starts, digits
+    while length > 0:
+        group = max(0, length - GROUP)
+        at = level.select("turn", "range", "words", F.substring("range", 1, group).alias("group"))
+        inside = hinted(cut(at.select("turn", F.col("range").alias("upto"), earlier("words", "turn", "group", ["range"]).alias("more"))))
+        start = start.join(inside, (start["turn"] == inside["turn"]) & (F.substring(start["range"], 1, length) == inside["upto"])).select(start["turn"], "range", (F.col("start") + F.col("more")).alias("start"))
+        level, length = cut(at.groupBy("turn", F.col("group").alias("range")).agg(F.sum("words").alias("words"))), group
+    start = hinted(cut(start))
+    within = earlier(F.col("size") * F.col("n"), "turn", "range", ["order", "id", "size"])
+    out = placed.withColumn("within", within).join(start, ["turn", "range"])
+    return cut(out.select("source", "turn", "id", "size", "order", "n", "source_size", "target", (F.col("start") + F.col("within")).alias("before"))), known
+
+
+def _reached(before: Column, epoch: int) -> Column:
+    """Where a copy's middle word lies in its source's stream, which is repeated without end."""
+    return before.cast("double") + F.col("size") / F.lit(2.0) + F.col("source_size") * F.lit(float(epoch))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
+    """(id, size, source_size, target, copies, taken, positions, after), one row for each row of df.
+
+    Sizes are words. Each source is a stream in the order of order_key(), repeated without end; it gives documents whole
+    while half of the next still lies under its target, so it ends within half a document of it. With targets up to
+    cap x a source's size, no document is taken more than ceil(cap) times. positions holds a training time between 0
+    and 1 for each copy: where the source's integrated schedule reaches the copy's middle word.
+
+    Null text has no words; a null source is a source of its own, last in turn; rows of one id are rows of their own,
+    told apart by their texts; rows that share id, text and source are counted once with their number before anything is
+    sorted, and each of them has its own place. An empty table gives an empty table; other columns are neither read nor
+    returned. Nothing depends on how rows are dealt, so reruns agree. Places are found by sums of ranges of the order,
+    level by level, then within a range, so that a source with most of the rows is spread over many tasks.
+    """
+    placed, _ = _placed(df, id_col, text_col, source_col, weights, share, cap)
+    rows = unrolled(placed, "n", "copy").withColumn("middle", _reached(F.col("before") + F.col("size") * F.col("copy"), 0))
+    at = [F.when((F.col("size") > 0) & (F.col("middle") + F.col("source_size") * F.lit(float(e)) <= F.col("target")), F.col("middle") + F.col("source_size") * F.lit(float(e))) for e in range(math.ceil(cap))]
     times = []
     for one in at:
         part, time = one / F.col("target"), F.lit(None).cast("double")
         for n, schedule in enumerate(schedules):
             time = F.when(F.pmod("turn", F.lit(len(schedules))) == n, inverted(schedule, part)).otherwise(time)
         times.append(F.when(one.isNotNull(), time))
-    found = offsets.withColumn("positions", F.filter(F.array(*times), lambda x: x.isNotNull()))
+    found = rows.withColumn("positions", F.filter(F.array(*times), lambda x: x.isNotNull()))
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", F.size("positions").alias("copies"), (F.col("size") * F.size("positions")).cast("long").alias("taken"), "positions", (F.lit(1.0) + F.col("middle") / (F.col("source_size") + 1)).alias("after"))
 
 
@@ -91,14 +123,49 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.coalesce(F.get("positions", F.lit(0)), F.col("after")))
 
 
-def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
-    """df as the mix takes it: each row as many times as it has copies, all columns as they are."""
-    counts = cut(mix(df, id_col, text_col, source_col, **more).groupBy(F.col(id_col).alias("__mixed_id")).agg(F.max("copies").alias("__mixed_copies")))
-    gone = counts.where("__mixed_copies <> 1")
-    gone = hinted(cut(gone))
-    joined = df.join(gone, df[id_col].eqNullSafe(gone["__mixed_id"]), "left")
-    times = F.coalesce(F.col("__mixed_copies"), F.lit(1))
-    return joined.withColumn("__mixed_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[df[f"`{c}`"] for c in df.columns])
+def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """df as the mix takes it: each row as many times as it has copies, all columns as they are.
+
+    What an epoch takes of a source is the beginning of its stream, so one order key a source and epoch says which rows
+    are taken: the rows of df never move, and nothing grows with them but the sources. Rows that share id, text and source also share
+    their key; where an epoch ends among them, they are numbered, and as many as it takes are kept.
+
+    Rows without words are never taken; a null source is a source; rows of one id are judged each by its text; columns of any
+    names pass through; an empty table gives an empty table.
+    """
+    placed, known = _placed(df, id_col, text_col, source_col, weights, share, cap)
+    epochs = range(math.ceil(cap))
+    # of n rows of one key, those whose middles lie at or under the target
+    took = [F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("target") - _reached(F.col("before"), e)) / F.col("size")) + 1))).otherwise(0).cast("long") for e in epochs]
+    counted = placed.select("turn", "order", "n", *[t.alias(f"took{e}") for e, t in enumerate(took)])
+    last = [F.max(F.when(F.col(f"took{e}") > 0, F.col("order"))).alias(f"last{e}") for e in epochs]
+    ends = cut(known.join(counted.groupBy("turn").agg(*last), "turn").select("source", "turn", *[f"last{e}" for e in epochs]))
+    key, source, turn, *names = fresh(df, "__order", "__source", "__turn", *[f"__last{e}" for e in epochs])
+    cuts = hinted(ends.select(F.col("source").alias(source), F.col("turn").alias(turn), *[F.col(f"last{e}").alias(n) for e, n in enumerate(names)]))
+    keyed = df.withColumn(key, order_key(id_col, text_col))
+    joined = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts[source])).where(word_count(F.col(text_col)) > 0)
+    split = cut(counted.where(reduce(lambda a, b: a | b, [(F.col(f"took{e}") > 0) & (F.col(f"took{e}") < F.col("n")) for e in epochs])))
+    times = reduce(lambda a, b: a + b, [F.coalesce((F.col(key) <= F.col(n)).cast("int"), F.lit(0)) for n in names])
+    repeat = lambda rows, n: rows.withColumn(turn, F.explode(F.array_repeat(F.lit(0), n))).select(*own_columns(df))
+    if split.isEmpty():
+        return repeat(joined, times)
+    ties = F.broadcast(split.select(F.col("turn").alias("t"), F.col("order").alias("o"), *[f"took{e}" for e in epochs]))  # at most a row a source and epoch
+    on = (joined[turn] == ties["t"]) & (joined[key] == ties["o"])
+    some = _numbered(cut(joined.join(ties, on).select(F.struct(*own_columns(df)).alias("row"), "t", "o", *[f"took{e}" for e in epochs])), ["t", "o"])
+    few = reduce(lambda a, b: a + b, [(F.col("place") < F.col(f"took{e}")).cast("int") for e in epochs])
+    tied = some.withColumn("copy", F.explode(F.array_repeat(F.lit(0), few))).select("row.*")
+    return repeat(joined.join(ties, on, "left_anti"), times).unionByName(tied)
+
+
+def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
+    """df, already cut, with the place of each row among those of its group, counted by file part: no group is sorted in
+    one task."""
+    marked = df.withColumn("mark", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mark", 33))
+    counts = marked.groupBy(*by, "part").agg(F.count("*").alias("rows"))
+    start = F.coalesce(F.sum("rows").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = hinted(cut(counts.select(*by, "part", start.alias("start"))))
+    at = F.row_number().over(Window.partitionBy(*by, "part").orderBy("mark")) - 1
+    return marked.withColumn("at", at).join(starts, [*by, "part"]).withColumn("place", F.col("start") + F.col("at"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -108,7 +175,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || md5(coalesce(text, ''))) AS o,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
