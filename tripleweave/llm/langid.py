@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .base import arrow_bounds, per_text
 
+_log = logging.getLogger(__name__)
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -38,33 +41,74 @@ class Model:
         return out
 
 
+#: Bodies of fewer bytes are compressed in several forms, of which so many begin with another word each.
+SHORT, TURNS = 256, 8
+
+
+def forms(body: bytes, block: int) -> list[bytes]:
+    """What is compressed for a text: its blocks; for a short one also its words in turned order and with spaces around,
+    because sizes are whole bytes, and one form of a few words leaves most languages tied."""
+    if len(body) >= SHORT:
+        return [body[i : i + block] for i in range(0, len(body), block)]
+    words = body.split(b" ")
+    return [*(b" ".join(words[i:] + words[:i]) for i in range(min(len(words), TURNS))), b" " + body, body + b" ", b" " + body + b" "]
+
+
 def judge(text: str, compressors: dict, block: int) -> tuple[str, float]:
     """The best language and its margin: by what part of the second's size the best is smaller."""
     body = words_of(text)
     if not compressors or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0
-    sizes = sorted((sum(len(c.compress(body[i : i + block])) for i in range(0, len(body), block)), k) for k, c in compressors.items())
+    parts = forms(body, block)
+    sizes = sorted((sum(len(c.compress(x)) for x in parts), k) for k, c in compressors.items())
     if len(sizes) == 1:
         return sizes[0][1], 1.0
     return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rank: Column | None = None, texts: int = 64, excerpt: int = 2000, dictionary: int = 1 << 16) -> Model:
-    """Dictionaries from a bounded sample: of each language, for each of `texts` remainders of `rank` (a long;
-    default: a hash of the text), the row of least rank, up to `excerpt` characters of it, and `dictionary` bytes in all. Rows whose text or language is
-    null are not learned from; no rows give a model that answers `und`.
+def excerpts(text: Column, size: int, parts: int) -> Column:
+    """A text of up to size characters whole; of a longer one, parts of equal length spread evenly from its beginning to
+    its end, so that what is learned of it is not its opening alone."""
+    piece = size // parts
+    at = lambda k: (k * (F.length(text) - piece) / F.lit(max(1, parts - 1))).cast("int") + 1
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.substring(text, at(k), F.lit(piece))), " ")
+    return F.when(F.length(text) <= size, text).otherwise(spread)
 
-    What reaches the driver is texts x excerpt characters for each distinct language.
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", rank: Column | None = None, texts: int = 64, excerpt: int = 2000, parts: int = 8, dictionary: int = 1 << 16, languages: int = 1000) -> Model:
+    """Dictionaries from a bounded sample of labelled rows: of each language, for each of `texts` remainders of `rank` (a
+    long; default: a hash of the text), the row of least rank. A dictionary has at most `dictionary` bytes, of which each
+    chosen row of its language gets an equal share and short rows leave theirs to the others; a text of over `excerpt`
+    characters gives `parts` excerpts spread evenly over the whole of it, because one text of any length must fit the
+    driver and the end of a long text is as good a sample as its start.
+
+    Rows whose text or language is null are not learned from; of rows that share their rank (ids that repeat) one is
+    taken; no rows give a model that answers `und`. What reaches the driver is texts x excerpt characters for each
+    distinct language; more than `languages` of them are a ValueError, since such a column holds no languages.
     """
     rank = F.xxhash64(text_col) if rank is None else rank
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     ranked = known.select(F.col(lang_col).alias("lang"), rank.alias("rank"))
-    chosen = ranked.groupBy("lang", F.pmod("rank", F.lit(texts)).alias("slot")).agg(F.min("rank").alias("rank")).select("rank").distinct().collect()
-    first = known.where(rank.isin([r["rank"] for r in chosen])).select(F.col(lang_col).alias("lang"), rank.alias("n"), F.substring(F.col(text_col), 1, excerpt).alias("text")).distinct()
-    found: dict[str, list[bytes]] = {}
-    for row in sorted(first.select("lang", "n", "text").collect()):
-        found.setdefault(row["lang"], []).append(words_of(row["text"]))
-    return Model({k: body for k, v in sorted(found.items()) if (body := b" ".join(v)[:dictionary])})
+    slots = ranked.groupBy("lang", F.pmod("rank", F.lit(texts)).alias("slot")).agg(F.min("rank").alias("rank"))
+    chosen = slots.select("lang", "rank").limit(languages * texts + 1).collect()  # one more than is allowed tells that it is too many
+    if len({r["lang"] for r in chosen}) > languages or len(chosen) > languages * texts:
+        raise ValueError(f"column {lang_col} has over {languages} different values")
+    wanted = known.where(rank.isin(list({r["rank"] for r in chosen})))
+    first = wanted.select(F.col(lang_col).alias("lang"), rank.alias("rank"), excerpts(F.col(text_col), excerpt, parts).alias("text")).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    pairs, found = {(r["lang"], r["rank"]) for r in chosen}, {}
+    for row in sorted(first.collect()):
+        if (row["lang"], row["rank"]) in pairs and (body := words_of(row["text"])):
+            found.setdefault(row["lang"], []).append(body)
+    return Model({k: b" ".join(shared(v, dictionary)) for k, v in sorted(found.items())})
+
+
+def shared(bodies: list[bytes], size: int) -> list[bytes]:
+    """bodies cut so that they and spaces between them take size bytes at most; what short ones leave goes to the rest."""
+    left, out = size, {}
+    for n, k in enumerate(sorted(range(len(bodies)), key=lambda k: (len(bodies[k]), k))):
+        out[k] = bodies[k][: max(0, left // (len(bodies) - n) - 1)]
+        left -= len(out[k]) + 1
+    return [out[k] for k in range(len(bodies))]
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.002) -> DataFrame:
@@ -87,7 +131,15 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.002) -> DataFrame:
-    """The rows of df that identify() would not reject, all columns as they are; the rows do not move."""
+    """The rows of df that identify() would not reject, all columns as they are, whatever their names; no row moves.
+
+    Null, empty and letterless texts go, as do those whose two best languages tie or lie within `least`; texts of any
+    length are judged whole; repeated rows are judged alike, and an id plays no part; an empty table gives an empty table.
+    A model that knows no language (nothing was labelled) can reject nothing: then all rows stay, and the log says so.
+    """
+    if not model.dictionaries:
+        _log.warning("no labelled text to learn from: language identification keeps all rows")
+        return df
     arrow_bounds(df.sparkSession)
     ready: list[dict] = []
 
