@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -13,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .base import arrow_bounds, cut, id_and_text
+from .base import arrow_bounds, cut, fresh, id_and_text, own_columns, uncut
+
+_log = logging.getLogger(__name__)
 
 END = 0
 #: Entries and tokens that a worker's table of known words holds before it starts anew.
@@ -179,10 +183,18 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _packed(items: DataFrame, parts: int, capacity: int, turn: int, freed: float) -> DataFrame:
-    """items dealt over parts by a hash, each part packed by best fit and certified: sequence_id, offset, and open for
-    the rows of the emptiest bins of a part whose bins exceed its bound."""
-    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
+#: What share of a part's bins, the emptiest first, is opened for the first exchange; after one that saves no bin it
+#: is STEP times as much, up to all.
+FREED, STEP = 0.02, 4
+#: A turn that opened all bins with gaps is the last if it saves no more than this share of the bins.
+LEAST_GAIN = 1e-4
+
+
+def _packed(items: DataFrame, parts: int, capacity: int, turn: int) -> DataFrame:
+    """items (with a number each, `row`) dealt over parts by a hash, each part packed by best fit and certified:
+    sequence_id, offset, and slack: the place of a bin among those of its part, the emptiest first, from 0 up to 1; 2 for
+    full bins and for parts that no exchange can better."""
+    schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("slack", T.DoubleType())])
     names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,64 +205,77 @@ def _packed(items: DataFrame, parts: int, capacity: int, turn: int, freed: float
         if not sum(b.num_rows for b in got):
             return
         table = pa.Table.from_batches(got)
-        table = table.sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
+        table = table.sort_by([("length", "descending"), ("row", "ascending")]).combine_chunks()
         lengths = table.column("length").to_numpy()
         bins, offsets, fills = best_fit(lengths, capacity)
         least = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        # certified against its own items, a part may still end with a bin that others could fill
-        loose = len(fills) > least or int(lengths.sum()) < least * capacity
-        order = np.argsort(fills, kind="stable")[: max(4, int(freed * len(fills))) if loose else 0]
-        opened = np.zeros(len(fills), bool)
-        opened[order[fills[order] < capacity]] = True
-        sequence = (np.int64(turn) << 58) + (np.int64(part) << 34) + bins
-        out = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets)).append_column("open", pa.array(opened[bins]))
+        slack = np.full(len(fills), 2.0)
+        if len(fills) > least or int(lengths.sum()) < least * capacity:
+            # certified against its own items, a part may still end with a bin that others could fill
+            order = np.argsort(fills, kind="stable")
+            slack[order] = np.arange(len(fills)) / max(len(fills), 4)
+            slack[order[: min(4, len(fills))]] = 0.0
+            slack[fills == capacity] = 2.0
+        sequence = (np.int64(turn) << 55) + (np.int64(part) << 30) + bins
+        out = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets)).append_column("slack", pa.array(slack[bins]))
         yield from out.select(names).to_batches(max_chunksize=10_000)
 
-    return items.repartition(parts, F.xxhash64("id", "piece", "length", "ids_crc32", F.lit(turn))).mapInArrow(run, schema)
+    return items.repartition(parts, F.xxhash64("row", F.lit(turn))).mapInArrow(run, schema)
 
 
 def _bins() -> Column:
     return F.count(F.when(F.col("offset") == 0, 1))
 
 
-def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns: int = 5, freed: float = 0.02) -> DataFrame:
-    """items (id, piece, length, ids_crc32 and more columns) with sequence_id and offset: best-fit decreasing in parts of
-    about part_items items, each certified by a dual-feasible-function bound.
+def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns: int | None = None) -> DataFrame:
+    """items (columns length and others) with sequence_id, offset and least_sequences: best-fit decreasing in parts of
+    about part_items items, each certified by a dual-feasible-function bound. least_sequences is that bound for the whole, the
+    same in all rows: no packing has fewer sequences, and the log says how many there are.
 
     While the bins exceed the bound of the whole, which takes one count a length, the emptiest bins of parts with gaps
-    are opened; their documents are exchanged over new, fewer parts and packed again. It ends at the bound, when a turn
-    saves no bin, or after `turns`. Each turn is a written table; only what is opened moves again. Rows that are equal
-    are items of their own. No items give no rows.
+    are opened; their documents are exchanged over new, fewer parts and packed again. A turn that saves no bin is followed
+    by one that opens more, of all parts and earlier turns; it ends at the bound, or when a turn that opened all bins
+    with gaps saved none, or next to none (or after `turns`, if given). Each turn is a written table; only what is opened
+    moves again. Every item has a number of its own, so rows that are equal spread over the parts like others. No items
+    give no rows.
     """
+    columns, (row,) = items.columns, fresh(items, "row")
+    numbered = cut(items.withColumn(row, F.monotonically_increasing_id()).withColumnRenamed(row, "row") if row == "row" else items.select(F.struct(*own_columns(items)).alias("item"), "length").withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in items.groupBy("length").count().collect():  # at most one row a length
+    for r in numbered.groupBy("length").count().collect():  # at most one row a length
         counts[r["length"]] = r["count"]
     least, total = lower_bound(counts, capacity), int(counts.sum())
-    columns = items.columns
-    now = cut(_packed(items, max(1, -(-total // part_items)), capacity, 0, freed))
-    closed: list[DataFrame] = []
-    for turn in range(1, turns + 1):
-        state = now.agg(_bins().alias("bins"), F.count(F.when(F.col("open"), 1)).alias("rows"), F.count(F.when(F.col("open") & (F.col("offset") == 0), 1)).alias("open")).first()
-        done = sum(x.agg(_bins()).first()[0] for x in closed)
-        if not state["rows"] or done + state["bins"] <= least:
-            break
-        again = cut(_packed(now.where("open").select(*columns), max(1, -(-state["rows"] // part_items)), capacity, turn, 4 * freed))
-        if again.agg(_bins()).first()[0] >= state["open"]:
+    kept = numbered.columns
+    tables = [(cut(_packed(numbered, max(1, -(-total // part_items)), capacity, 0)), 0.0)]  # with the slack from which their bins are closed no more
+    share, turn, bins = FREED, 1, tables[0][0].agg(_bins()).first()[0]
+    while bins > least and (turns is None or turn <= turns):
+        some = reduce(DataFrame.unionByName, [t.where((F.col("slack") >= since) & (F.col("slack") < share)) for t, since in tables])
+        state = some.agg(F.count("*").alias("rows"), _bins().alias("bins")).first()
+        saved = 0
+        if state["rows"]:
+            again = cut(_packed(some.select(*kept), max(1, -(-state["rows"] // part_items)), capacity, turn))
+            saved, turn = state["bins"] - again.agg(_bins()).first()[0], turn + 1
+        if saved > 0:
+            bins, tables = bins - saved, [*((t, max(since, share)) for t, since in tables), (again, 0.0)]
+        elif state["rows"]:
+            uncut(again)
+        if share >= 1 and saved <= LEAST_GAIN * bins:
             break
-        closed.append(now.where("not open"))
-        now = again
-    for x in closed:
-        now = now.unionByName(x)
-    return now.select(*columns, "sequence_id", "offset")
+        share = share if saved > 0 else min(1.0, share * STEP)
+    _log.info("%d sequences; at least %d are needed", bins, least)
+    now = reduce(DataFrame.unionByName, [t.where(F.col("slack") >= since) for t, since in tables])
+    made = ["sequence_id", "offset"]
+    items_again = [F.col(f"`{c}`") for c in columns] if row == "row" else [F.col("item.*")]
+    return now.select(*items_again, *made, F.lit(least).cast("long").alias("least_sequences"))
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece of each row of df.
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences), a row for each piece of each row of df.
 
     Only documents of over capacity tokens are cut. Null and empty texts are one end id; rows that repeat, or have no
     id, are documents of their own; an empty table gives an empty table; other columns are neither read nor returned.
     """
-    return pack(cut(pieces(df, id_col, text_col, capacity, path)), capacity).withColumnRenamed("id", id_col)
+    return pack(pieces(df, id_col, text_col, capacity, path), capacity).withColumnRenamed("id", id_col)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
