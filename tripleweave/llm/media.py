@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import per_text
+from .base import arrow_bounds, per_text
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a row; the payload is a multiple of it.
@@ -156,28 +158,53 @@ def to_png(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return per_text(df, work, [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())], id_col, text_col)
 
 
+#: Decoded bytes that a batch of images that are read may hold; an image of more is a batch of its own.
+DECODED_BYTES = 8 << 20
+
+
+def decoded_size(data: bytes | None) -> int:
+    """How many samples an image's header promises, without reading them."""
+    return 0 if data is None or len(data) < 24 else int(np.prod(struct.unpack_from(">II", data, 16), dtype=np.int64))
+
+
 def read_png(df: DataFrame, media_col: str = "media", payload_col: str = "payload", hash_col: str = "phash") -> DataFrame:
     """df with the samples read back from its images and their 64-bit hash, both binary. A null or broken image gives
-    null in both columns."""
-    from .base import arrow_bounds
+    null in both columns; df must not have columns of these names.
 
+    A header says how large an image is before it is read, so batches are bounded by what images decode to (DECODED_BYTES),
+    not by their compressed size, which can be a hundredth of it.
+    """
+    if clash := {payload_col.lower(), hash_col.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has columns {sorted(clash)}")
     arrow_bounds(df.sparkSession)
-    kind = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("phash", T.BinaryType())])
-
-    @F.pandas_udf(kind)
-    def read(media):
-        import pandas as pd
-
-        out = []
-        for data in media:
-            try:
-                samples = decode_png(bytes(data)) if data is not None else None
-            except ValueError:
-                samples = None
-            out.append((None, None) if samples is None else (samples.tobytes(), cosine_hash(samples)))
-        return pd.DataFrame(out, columns=["payload", "phash"])
-
-    return df.withColumn("__read", read(F.col(media_col))).select(*df.columns, F.col("__read.payload").alias(payload_col), F.col("__read.phash").alias(hash_col))
+    schema = T.StructType([*df.schema.fields, T.StructField(payload_col, T.BinaryType()), T.StructField(hash_col, T.BinaryType())])
+    at = df.columns.index(media_col)
+
+    def read(data: bytes | None) -> tuple[bytes | None, bytes | None]:
+        try:
+            samples = decode_png(data) if data is not None else None
+        except ValueError:
+            samples = None
+        return (None, None) if samples is None else (samples.tobytes(), cosine_hash(samples))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, size = 0, [], 0
+            media = batch.column(at)
+            for n in range(batch.num_rows):
+                data = media[n].as_py()
+                more = decoded_size(data)
+                if held and size + more > DECODED_BYTES:
+                    yield made(batch.slice(start, n - start), held)
+                    start, held, size = n, [], 0
+                held.append(read(data))
+                size += more
+            yield made(batch.slice(start), held)
+
+    def made(part: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in held], pa.binary()) for k in (0, 1))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
