@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .base import arrow_bounds, cut, hinted, per_text
+from .base import arrow_bounds, cut, hinted, per_text, uncut
 from .components import components
+from .exact import kept_rows
 
 #: Rows of a tile; a bucket of more rows is dealt out by pairs of tiles.
 TILE = 2048
@@ -129,16 +131,20 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("rows").alias("fingerprint_rows"))
 
 
-#: Bits, words of a shingle and radius by which candidates are found: at a similarity of 0.8 fingerprints of 256 bits
+#: Bits, words of a shingle and radius by which candidates are compared: at a similarity of 0.8 fingerprints of 256 bits
 #: differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
 WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 72
+#: Texts meet in a bucket of a band: ROWS least hashes that they share. At a similarity of 0.8 one of BANDS bands is
+#: shared with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, which is 0.9993; at 0.4 with 0.09.
+BANDS, ROWS = 24, 6
 #: Pairs in which a text has at most so many shingles meet by shared least shingles, which misses none.
 SHORT = 32
+#: A bucket of more rows names its rows candidates of its first without comparing fingerprints.
+BUCKET = 4096
 #: Rows and shingles of one side of a task of exact comparison.
 SETS, SET_SHINGLES = 512, 1 << 20
-#: Rows of one side of a task's comparison: a class is cut in cells of CELL rows, up to CELLS of them, so that rows go
-#: to a bounded number of tasks; only beyond CELLS x MOST rows does a class have more cells.
-CELL, CELLS, MOST = 2048, 4, 131_072
+_RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_TIMES, _PLUS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
 
 
 def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, np.ndarray]:
@@ -195,86 +201,84 @@ class Forest:
                 root[:] = up
 
 
-def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = 0.8, cell: int = CELL, cells_: int = CELLS, most: int = MOST) -> DataFrame:
-    """(a, b): edges that connect all nodes (columns node: bytes that begin with the fingerprint, size) within radius bits and
-    of sizes that allow the similarity.
+def band_keys(shingles: np.ndarray, part: int = 4096) -> list[int]:
+    """A key for each band: the hash of ROWS minima of permuted shingle hashes. Odd, as signed longs."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), part):
+        np.minimum(least, (shingles[None, at : at + part] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
+    body = least.tobytes()
+    keys = [xxh64_intdigest(body[8 * ROWS * k : 8 * ROWS * (k + 1)], k) | 1 for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def short_keys(shingles: np.ndarray, similarity: float) -> list[int]:
+    """Keys of which texts with such similar sets share one: sets of n shingles share one of the n - ceil(similarity x n)
+    + 1 least of each, and their sizes are of one class of that ratio, or of two in turn. Even, as signed longs."""
+    from xxhash import xxh64_intdigest
+
+    n = len(shingles)
+    least = shingles[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+    c = int(np.floor(np.log(n) / -np.log(similarity) + 1e-9))
+    keys = [xxh64_intdigest(x.tobytes(), k) & ~1 for x in least for k in (c, c + 1)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def candidates(nodes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): edges between rows of nodes (columns row, node: bytes that begin with the fingerprint, size, keys) that
+    connect all that share a bucket and may be similar.
 
-    Sizes fall into classes of the ratio `similarity`, so only equal and next classes are compared: by tiles, cells of a
-    class by a hash, each pair of cells one task. Inside, rows are sorted by population count, and tile pairs whose
-    counts differ beyond the radius are skipped. A task gives a forest, never all its pairs.
+    Only rows that share a key with another meet, so the work grows with the copies and not with the square of the table.
+    In a bucket of a band, rows are sorted by population count and their fingerprints compared tile by tile; tile pairs
+    whose counts differ beyond the radius are skipped, and a forest is returned, never all pairs. Fingerprints of short
+    texts tell little, and a bucket of over `bucket` rows is too large for one task: there each row is linked to the
+    bucket's first, and the exact comparison, which works in cells, has the word.
     """
     arrow_bounds(nodes.sparkSession)
-    classed = nodes.select("node", "size", F.when(F.col("size") < 1, -9).otherwise(class_of(F.col("size"), similarity)).alias("c"))
-    cells = cut(classed.groupBy("c").agg(F.greatest(F.least(F.ceil(F.count("*") / F.lit(cell)), F.lit(cells_)), F.ceil(F.count("*") / F.lit(most))).cast("int").alias("k")))
-    known = cells.select(F.col("c"), F.col("k"), F.lit(0).alias("by")).unionByName(cells.select((F.col("c") - 1).alias("c"), "k", F.lit(1).alias("by"))).unionByName(cells.select((F.col("c") + 1).alias("c"), "k", F.lit(-1).alias("by")))
-    # one row a class, and classes grow with the logarithm of the longest text
-    ks = F.broadcast(known.groupBy("c").agg(*[F.max(F.when(F.col("by") == by, F.col("k"))).alias(name) for by, name in ((0, "k"), (1, "above"), (-1, "under"))]).where("k is not null"))
-    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    own, c = F.col("own"), F.col("c")
-    pair = lambda p, x, q, y, side: F.struct(p.alias("p"), x.alias("x"), q.alias("q"), y.alias("y"), side.alias("side"))
-    tasks = F.concat(
-        F.transform(upto(F.col("k")), lambda x: pair(c, F.least(x, own), c, F.greatest(x, own), (x < own).cast("int"))),
-        F.transform(upto(F.coalesce("above", F.lit(0))), lambda x: pair(c, own, c + 1, x, F.lit(0))),
-        F.transform(upto(F.coalesce("under", F.lit(0))), lambda x: pair(c - 1, x, c, own, F.lit(1))),
-    )
-    dealt = classed.join(ks, "c").withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int")).select("node", "size", F.explode(tasks).alias("t"))
-    keyed = dealt.select(F.xxhash64("t.p", "t.x", "t.q", "t.y").alias("task"), F.col("t.side").alias("side"), "node", "size")
-    out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    keyed = nodes.select("row", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("row").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    met = cut(keyed.join(hinted(shared), "key"))
+    plain = (F.col("n") > bucket) | (F.col("key").bitwiseAND(F.lit(1)) == 0)
+    direct = met.where(plain & (F.col("row") != F.col("lead"))).select(F.col("row").alias("a"), F.col("lead").alias("b"))
+    compared = met.where(~plain).join(nodes.select("row", "node", "size"), "row").select("key", "row", "node", "size")
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(table: pa.Table) -> pa.RecordBatch:
-            side, sizes, names = table.column("side").to_numpy(), table.column("size").to_numpy(), table.column("node").combine_chunks()
-            lanes = np.frombuffer(b"".join(names.to_pylist()), np.uint64).reshape(len(side), -1)[:, : WIDE // 64]
+        def found(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            rows, sizes = table.column("row").to_numpy(), table.column("size").to_numpy()
+            lanes = np.frombuffer(b"".join(table.column("node").to_pylist()), np.uint64).reshape(len(rows), -1)[:, : WIDE // 64]
             bits = np.bitwise_count(lanes).sum(axis=1).astype(np.int64)
-            left, right = (np.nonzero(side == x)[0] for x in (0, 1))
-            left, right = left[np.argsort(bits[left], kind="stable")], right[np.argsort(bits[right], kind="stable")]
-            same = not len(right)
-            right = left if same else right
-            forest, tile = Forest(len(side)), 512
-            for at in range(0, len(left), tile):
-                a = left[at : at + tile]
-                for to in range(at if same else 0, len(right), tile):
-                    b = right[to : to + tile]
+            order = np.argsort(bits, kind="stable")
+            forest, tile = Forest(len(rows)), 512
+            for at in range(0, len(order), tile):
+                a = order[at : at + tile]
+                for to in range(at, len(order), tile):
+                    b = order[to : to + tile]
                     if bits[b[0]] - bits[a[-1]] > radius:
                         break
-                    if bits[a[0]] - bits[b[-1]] > radius:
-                        continue
                     i, j = near_pairs(lanes[a], lanes[b], sizes[a], sizes[b], radius, similarity)
                     forest.join(a[i], b[j])
-            member = np.nonzero(forest.root != np.arange(len(side)))[0]
-            return pa.RecordBatch.from_arrays([names.take(pa.array(member)), names.take(pa.array(forest.root[member]))], names=["a", "b"])
+            member = np.nonzero(forest.root != np.arange(len(rows)))[0]
+            return rows[member], rows[forest.root[member]]
 
         held: list[pa.Table] = []
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            task = table.column("task").to_numpy()
-            if not len(task):
-                continue
-            ends = np.concatenate([[0], np.nonzero(np.diff(task))[0] + 1, [len(task)]])
+            keys = table.column("key").to_numpy()
+            ends = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]]) if len(keys) else []
+            a, b = [], []
             for lo, hi in zip(ends, ends[1:]):
-                if held and held[-1].column("task")[0].as_py() != task[lo]:
-                    yield found(pa.concat_tables(held))
+                if held and held[-1].column("key")[0].as_py() != keys[lo]:
+                    for kept, more in zip((a, b), found(pa.concat_tables(held))):
+                        kept.append(more)
                     held = []
                 held.append(table.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.empty(0, np.int64)])) for x in (a, b)], names=["a", "b"])
         if held:
-            yield found(pa.concat_tables(held))
-
-    return keyed.repartition("task").sortWithinPartitions("task").mapInArrow(compare, out)
-
-
-def class_of(size, similarity: float):
-    """Sizes by powers of 1 / similarity: those that the similarity allows are of one class or of two in turn."""
-    return F.floor(F.log(size.cast("double")) / F.lit(float(-np.log(similarity))) + 1e-9).cast("int")
-
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found(pa.concat_tables(held))], names=["a", "b"])
 
-def short_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): edges that connect all nodes (columns node, size, least: the least hashes of their shingles) which share
-    one of these and whose sizes may allow the similarity. Sets of n shingles that are so similar share one of the
-    n - ceil(similarity x n) + 1 least of each."""
-    c = class_of(F.col("size"), similarity)
-    keyed = cut(nodes.where("size > 0").select("node", F.explode("least").alias("key"), c.alias("c")).select("node", "key", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("c")))
-    first = hinted(cut(keyed.groupBy("key", "c").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "c", "b")))
-    return keyed.join(first, ["key", "c"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return compared.repartition("key").sortWithinPartitions("key").mapInArrow(compare, out).unionByName(direct)
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -308,45 +312,71 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return root
 
 
-def confirmed(sets: DataFrame, similarity: float = 0.8, rows: int = SETS, shingles: int = SET_SHINGLES) -> DataFrame:
-    """(a, b): edges that connect all nodes (columns root: group of candidates, node, size, shingles: sorted hashes as
-    bytes) of a group whose sets are similar, computed exactly. A group is one task; a large one is cut in cells of
-    about so many rows or shingles, and each pair of cells is a task."""
-    arrow_bounds(sets.sparkSession)
-    large = hinted(cut(sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(rows), F.sum("size") / F.lit(shingles))).cast("int").alias("k")).where("k > 1")))
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    dealt = sets.join(large, "root", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", own).select("root", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    keyed = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "node", "shingles")
-    out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+def _compared(tasks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): edges that connect the similar sets of each task (columns task, row, shingles)."""
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(names: list[bytes], bodies: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        def found(rows: list[int], bodies: list[bytes]) -> tuple[list[int], list[int]]:
             root = similar([np.frombuffer(x, np.uint64) for x in bodies], similarity)
             member = np.nonzero(root != np.arange(len(root)))[0]
-            return [names[k] for k in member], [names[k] for k in root[member]]
+            return [rows[k] for k in member], [rows[k] for k in root[member]]
 
-        task, names, bodies = None, [], []
+        task, rows, bodies = None, [], []
         for batch in batches:
             a, b = [], []
-            for t, name, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if t != task and len(names) > 1:
-                    for held, more in zip((a, b), found(names, bodies)):
+            for t, row, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if t != task and len(rows) > 1:
+                    for held, more in zip((a, b), found(rows, bodies)):
                         held += more
                 if t != task:
-                    task, names, bodies = t, [], []
-                names.append(name), bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-        if len(names) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found(names, bodies)], names=["a", "b"])
+                    task, rows, bodies = t, [], []
+                rows.append(row), bodies.append(body)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if len(rows) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found(rows, bodies)], names=["a", "b"])
 
-    return keyed.repartition("task").sortWithinPartitions("task").mapInArrow(compare, out)
+    arrow_bounds(tasks.sparkSession)
+    return tasks.select("task", "row", "shingles").repartition("task").sortWithinPartitions("task").mapInArrow(compare, out).where("a <> b")
 
 
-def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id), one row for each row of df: classes of texts that pairs of the similarity or more connect,
-    by their sets of shingles of five words (repeats count once). Wide fingerprints, and shared shingles of short texts,
-    only name candidates; each link is confirmed on the sets (of 64-bit hashes). Texts without words are one class.
-    Other cases as in near_copies()."""
+def confirmed(sets: DataFrame, similarity: float = 0.8, rows: int = SETS, shingles: int = SET_SHINGLES) -> DataFrame:
+    """(a, b): edges that connect all rows (columns root: group of candidates, row, size, shingles: sorted hashes as
+    bytes) of a group whose sets are similar, computed exactly.
+
+    A group is one task. A larger one is cut in cells of about so many rows or shingles. First each cell is compared by
+    itself and with the group's first row, which joins all copies of one text over all cells. Only rows that still are
+    apart from the first row then meet every cell of their group, so that a group of near copies costs in proportion to
+    its rows, however many they are, and no pair is left out.
+    """
+    cells = F.ceil(F.greatest(F.count("*") / F.lit(rows), F.sum("size") / F.lit(shingles))).cast("int")
+    large = hinted(cut(sets.groupBy("root").agg(cells.alias("k"), F.min("row").alias("lead")).where("k > 1")))
+    alone = cut(_compared(sets.join(large.select("root"), "root", "left_anti").withColumn("task", F.col("root")), similarity))
+    if large.isEmpty():
+        return alone
+    whole = cut(sets.join(large, "root"))
+    cell = lambda n, mark: F.pmod(F.xxhash64("row", F.lit(mark)), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = whole.select(F.xxhash64("root", cell(F.col("k"), 0)).alias("task"), "row", "shingles")
+    first = whole.where("row = lead").select("root", "row", "shingles", upto(F.col("k")).alias("cell")).select(F.xxhash64("root", "cell").alias("task"), "row", "shingles")
+    around = cut(_compared(own.unionByName(first), similarity))
+    ends = hinted(cut(components(around).select("node", F.col("root").alias("end"))))
+    led = hinted(cut(large.join(ends, F.col("lead") == F.col("node"), "left").select("root", F.coalesce("end", "lead").alias("led"))))
+    apart = cut(whole.join(ends, F.col("row") == F.col("node"), "left").join(led, "root").where("coalesce(end, row) <> led").select(*whole.columns))
+    found = alone.unionByName(around)
+    if apart.isEmpty():
+        return found
+    few = cut(apart.groupBy("root").agg(cells.alias("m"), F.max("k").alias("k")))
+    grid = hinted(few.drop("k"))
+    pair = F.xxhash64("root", "x", "y").alias("task")
+    rest = apart.join(grid, "root").select("root", "row", "shingles", cell(F.col("m"), 1).alias("x"), upto(F.col("k")).alias("y"))
+    others = whole.join(grid, "root").select("root", "row", "shingles", cell(F.col("k"), 0).alias("y"), upto(F.col("m")).alias("x"))
+    return found.unionByName(_compared(rest.select(pair, "row", "shingles").unionByName(others.select(pair, "row", "shingles")), similarity))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, digest: MD5 of the text, node) of each row, and (node, component_id, keeper, rows) of each different set of
+    shingles: keeper is the (without id, id, digest) of the class's row that comes first."""
     from xxhash import xxh3_64_digest
 
     both = int(SHORT / similarity + 1e-9)
@@ -354,28 +384,47 @@ def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def work(texts: list[bytes]) -> list[list]:
         found = [wide_fingerprint(x, shingle) for x in texts]
         bodies = [s.tobytes() for _, s in found]
-        least = [s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view(np.int64).tolist() if 0 < len(s) <= both else None for _, s in found]
-        return [[f + xxh3_64_digest(x) for (f, _), x in zip(found, bodies)], [len(s) for _, s in found], least, bodies]
+        keys = [(band_keys(s) if len(s) > SHORT else []) + (short_keys(s, similarity) if 0 < len(s) <= both else []) for _, s in found]
+        return [[hashlib.md5(x).digest() for x in texts], [f + xxh3_64_digest(x) for (f, _), x in zip(found, bodies)], [len(s) for _, s in found], keys, bodies]
 
-    fields = [T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("least", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
     prints = cut(per_text(df, work, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("row", F.monotonically_increasing_id()))
-    nodes = cut(prints.groupBy("node", "size").agg(F.min("id").alias("first"), F.min("row").alias("row")))
-    short = prints.where("least is not null").join(hinted(cut(nodes.where(F.col("size") <= both).select("row"))), "row", "left_semi")
-    candidates = hinted(cut(components(wide_links(nodes.where(F.col("size") > SHORT), radius, similarity).unionByName(short_links(short, similarity)))))
-    chosen = hinted(cut(nodes.join(candidates, "node").select("row", "root")))
-    sets = cut(prints.join(chosen, "row").select("root", "node", "size", "shingles"))
-    roots = hinted(cut(components(confirmed(sets, similarity))))
-    least = hinted(cut(nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))))
-    classes = hinted(cut(nodes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "first").alias("component_id"))))
-    return prints.join(classes, "node").select(F.col("id").alias(id_col), "component_id")
-
-
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """df with the row of the smallest id of each class of near_texts(), all columns as they are. Rows that share an id
-    stand or fall together; rows without id go where their class has one, else stay."""
-    found = near_texts(df, id_col, text_col, **more).groupBy(F.col(id_col).alias("__near_id")).agg(F.max(F.coalesce(F.col(id_col).eqNullSafe(F.col("component_id")), F.lit(False))).alias("stays"))
-    gone = hinted(cut(found.where("not stays").select("__near_id")))
-    return df.join(gone, df[id_col].eqNullSafe(gone["__near_id"]), "left_anti")
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest")).alias("first")
+    nodes = cut(prints.groupBy("node", "size").agg(first, F.min("row").alias("row"), F.count("*").alias("rows"), F.first("keys").alias("keys")))
+    groups = cut(components(candidates(nodes, radius, similarity)))
+    chosen = hinted(cut(groups.select(F.col("node").alias("row"), "root")))
+    sets = cut(prints.join(chosen, "row").select("root", "row", "size", "shingles"))
+    roots = cut(components(confirmed(sets, similarity)))
+    uncut(sets)
+    rooted = nodes.join(hinted(roots.select(F.col("node").alias("row"), "root")), "row", "left").select("node", "first", "rows", F.coalesce("root", "row").alias("root"))
+    rooted = cut(rooted)
+    crowded = hinted(cut(rooted.join(hinted(cut(roots.select("root").distinct())), "root", "left_semi").groupBy("root").agg(F.min("first").alias("keeper"), F.min("first.id").alias("least"), F.sum("rows").alias("many"))))
+    joined = rooted.join(crowded, "root", "left")
+    classes = joined.select("node", F.coalesce("least", "first.id").alias("component_id"), F.coalesce("keeper", "first").alias("keeper"), F.coalesce("many", "rows").alias("rows"))
+    return prints.select("id", "digest", "node"), cut(classes)
+
+
+def near_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id), one row for each row of df: classes of texts that pairs of the similarity or more connect,
+    by their sets of shingles of five words (repeats count once). Bands of least hashes, and shared least shingles of short
+    texts, bring candidates together; wide fingerprints are compared among these; each link is confirmed on the sets (of
+    64-bit hashes). Texts without words are one class. Other cases as in near_copies()."""
+    prints, classes = _classes(df, id_col, text_col, shingle, radius, similarity)
+    return prints.join(hinted(classes.select("node", "component_id")), "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = 0.8) -> DataFrame:
+    """df with one row of each class of near_texts(), all its columns as they are, whatever their names.
+
+    The row with the smallest id stays, of rows that share it the one whose text has the smallest MD5, of rows that share
+    both any one; a row without id stays only where its class has no other. Null, empty and blank texts are one class;
+    texts of any length are compared whole; an empty table gives an empty table.
+    """
+    prints, classes = _classes(df, id_col, text_col, shingle, radius, similarity)
+    crowded = hinted(cut(classes.where("rows > 1").select("node", "keeper")))
+    stays = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("digest") == F.col("keeper.digest"))
+    found = cut(prints.join(crowded, "node").groupBy("id", "digest").agg(F.max(stays).alias("stays"), F.count("*").alias("rows")))
+    return kept_rows(df, found, id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
