@@ -1,6 +1,7 @@
 """Exact dedup, mixing, sharding and URL filters."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -124,6 +125,40 @@ def test_taken_rows(table):
     assert out.columns == df.columns and {k: n for k, n in copies.items() if n} == dict(got)
 
 
+def test_taken_rows_of_repeated_ids(table):
+    """Each row is taken as the mix takes it, whatever it shares with others; no source is given more than its target."""
+    rows = [(i // 4, "w " * (i % 30 + 1), "abc"[i % 3]) for i in range(600)] + [(7, "same words here", "d")] * 90 + [(None, "same words here", "d")] * 90 + [(None, None, "a")] * 5 + [(5, "", None), (5, "x y", None)]
+    df = table(rows)
+    taken, want, out = defaultdict(int), defaultdict(int), mixing.taken_rows(df)
+    size = lambda t: len([x for x in SPACES.split(t or "") if x])
+    got = defaultdict(int)
+    for r in out.collect():
+        taken[r["source"]] += size(r["text"])
+        got[r["doc_id"], r["text"], r["source"]] += 1
+    text_of = defaultdict(int)
+    for r in mixing.mix(df).collect():
+        text_of[r["doc_id"], r["size"]] += r["copies"]
+    for (k, t, _), n in got.items():
+        want[k, size(t)] += n
+    assert dict(want) == {k: n for k, n in text_of.items() if n}
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    for s, t in plain_targets(sizes).items():
+        assert abs(taken[s] - t) <= 16
+    assert out.columns == df.columns and mixing.taken_rows(table([])).count() == 0
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.taken_rows(df.repartition(5)).collect()))
+
+
+def test_order_levels(table, monkeypatch):
+    """Sums of ranges over several levels give the places that one sort gives."""
+    rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(3000)]
+    want = sorted(map(str, mixing.mix(table(rows)).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    monkeypatch.setattr(mixing, "GROUP", 1)
+    assert sorted(map(str, mixing.mix(table(rows)).collect())) == want
+
+
 def check_shards(df, rows, parts, **more):
     got = sharding.shards(df, parts, **more).collect()
     assert len(got) == len(rows)
@@ -147,13 +182,40 @@ def test_shards(table, edge_rows):
     assert sharding.shards(table([])).count() == 0
 
 
-def test_write_shards(spark, table, tmp_path):
+def test_shards_cut_rows_that_repeat_whole(table):
+    """Half of all rows are one row; shards still have equal bytes, numbered in one task or many."""
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(3000)] + [(5, "the same text again")] * 3000
+    for more in ({}, {"task_rows": 60}):
+        sizes = check_shards(table(rows), rows, 40, **more)
+        assert max(sizes) - min(sizes) <= 2 * max(len(t) + 16 for _, t in rows)
+
+
+def test_splitters_equal_brute_force(spark, table):
+    """Boundaries part the sorted keys where sums of bytes come nearest to their goals."""
+    rows = [(i, f"t{i} " * (i % 13 + 1)) for i in range(700)] + [(1, "tie")] * 300
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = table(rows).select((F.octet_length(text) + 16).cast("long").alias("bytes"), *sharding.key_columns("doc_id", "text")).select("k1", "k2", "k3", F.col("bytes").alias("size")).cache()
+    keys = sorted((r["k1"] << 126 | r["k2"] << 63 | r["k3"], r["size"]) for r in keyed.collect())
+    total = sum(n for _, n in keys)
+    bounds = sharding.splitters(keyed, 9, 0.0)
+    for n, b in enumerate(bounds, 1):
+        below = sum(s for k, s in keys if k < b)
+        best = min(abs(sum(s for _, s in keys[:i]) - total * n / 9) for i in range(len(keys) + 1))
+        assert abs(below - total * n / 9) <= best + 1e-6
+    got = sorted(r[0] for r in keyed.select(sharding.place(bounds)).collect())
+    assert got == sorted(sum(b <= k for b in bounds) for k, _ in keys)
+
+
+@pytest.mark.parametrize("task_bytes", [1 << 30, 300])
+def test_write_shards(spark, table, tmp_path, task_bytes):
     rows = [(i, f"text {i}") for i in range(200)]
     df = table(rows).drop("shard")
-    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    sharding.write_shards(df, str(tmp_path / "out"), 4, task_bytes=task_bytes)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    assert back.count() == 200 and back.select("shard").distinct().count() == 4 and set(df.columns) < set(back.columns)
     assert {r["doc_id"]: r["shard"] for r in back.collect()} == {r["doc_id"]: r["shard"] for r in sharding.shards(df, 4).collect()}
+    with pytest.raises(ValueError):
+        sharding.write_shards(table(rows), str(tmp_path / "clash"), 4)
 
 
 PAGES = "page_id long, url string, html string, host string, rule string"
@@ -194,3 +256,54 @@ def test_all_links_of_a_page(spark):
     rows = [(1, "http://a.org/x", link.format("http://b.org/") + link.format("http://c.net/es/1")), (2, "http://d.org/y", fresh.format("http://b.org/2") + fresh.format("http://c.net/fr/1"))]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r["page_id"]: (r["verdict"], r["cause"]) for r in got} == {1: ("block", "alias"), 2: ("block", "alias")}
+
+
+def test_links_as_pages_write_them(spark):
+    """Lists of rel, attributes that only look like href, comments, scripts, entities, dots and other schemes."""
+    block = "http://a.net/es/5"
+    heads = {
+        1: f'<link rel="alternate canonical" href="{block}">',
+        2: f'<link rel="canonical" data-href="{block}" href="http://b.org/">',
+        3: '<link rel=canonical href="../../es/5">',
+        4: f'<!-- <link rel="canonical" href="{block}"> -->',
+        5: f'<script>var a = \'<link rel="canonical" href="{block}">\';</script>',
+        6: '<link rel="canonical" href="http://a.net/es/?a=1&amp;b=2">',
+        7: f"<link href='{block}' rel='CANONICAL'/>",
+        8: '<link rel="canonical" href="mailto:x@a.net"><link rel="canonical" href="#top">',
+        9: f'<meta content="5; URL=\'{block}\'" http-equiv="Refresh">',
+        10: f'<link rel="not-canonical" href="{block}">',
+    }
+    rows = [(k, f"http://{'a.net/de/x' if k == 3 else f'h{k}.org'}/y", h) for k, h in heads.items()]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {1, 3, 6, 7, 9}
+
+
+def test_aliases_equal_brute_force(spark):
+    """Random chains of redirects: a page without a rule is blocked exactly when it can reach a blocked one."""
+    rng = random.Random(4)
+    hosts = ["a.net/es", "b.net/fr", "c.org/x", "d.org/y", "e.com/z", "f.org/es", "example.com/en"]
+    known = [f"http://{rng.choice(hosts)}/{i}" for i in range(160)]
+    edges = [(rng.choice(known), rng.choice(known)) for _ in range(90)] + [(None, known[0]), (known[1], known[1])]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(known)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, redirects=spark.createDataFrame(edges, "from_url string, to_url string")).collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        if a and b:
+            near[a].add(b), near[b].add(a)
+    rule = lambda u: "block" if re.match(r"http://([ab]\.net/(es|fr)|example\.com/en)/", u) else "allow" if ".com/" in u else None
+    for i, u in enumerate(known):
+        seen, todo = {u}, [u]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x), todo.append(x)
+        assert got[i] == (rule(u) or ("block" if any(rule(x) == "block" for x in seen) else "allow"))
+
+
+def test_redirect_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    for query, sql in ((urls.redirect_aliases, urls.REDIRECTS_SQL), (urls.op8_url_filter, urls.OP8_SQL)):
+        cursor = con.execute(sql)
+        got = query(spark, "/root/testdata/sf0.01").select(*[d[0] for d in cursor.description]).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, cursor.fetchall()))
+        assert query is urls.op8_url_filter or "alias" in {r["cause"] for r in got}

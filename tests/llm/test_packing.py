@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tripleweave.llm import packing
@@ -87,3 +88,22 @@ def test_exchange_saves_bins(spark):
     once = packing.pack(items, part_items=100, turns=0).select("sequence_id").distinct().count()
     more = packing.pack(items, part_items=100).select("sequence_id").distinct().count()
     assert bound <= more < once
+
+
+def test_rows_that_repeat_spread_over_parts(spark):
+    """A third of all items are equal in every column; parts stay of one size, and the bound is reported."""
+    rows = [(None, 0, 1, 9)] * 2000 + [(i, 0, i % 1500 + 1, i) for i in range(4000)]
+    items = spark.createDataFrame(rows, "id long, piece int, length long, ids_crc32 long").withColumnRenamed("id", "doc").selectExpr("*", "doc AS row")
+    out = packing.pack(items, part_items=500)
+    got = out.collect()
+    assert out.columns == [*items.columns, "sequence_id", "offset", "least_sequences"] and len(got) == len(rows)
+    bound = packing.lower_bound(np.bincount([r[2] for r in rows], minlength=2049), 2048)
+    assert {r["least_sequences"] for r in got} == {bound} and len({r["sequence_id"] for r in got}) <= bound + 2
+    dealt = packing._packed(items.select("length").withColumn("row", F.monotonically_increasing_id()), 12, 2048, 0).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) < 2 * len(rows) / 12
+
+
+def test_query_itself(spark):
+    out = packing.op9_packing(spark, "/root/testdata/sf0.001")
+    assert out.where("piece = 0").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()

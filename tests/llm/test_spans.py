@@ -90,14 +90,113 @@ def test_entropy_spans(spark, table):
     rows = [(1, f"key {random_} end"), (2, "123e4567-e89b-12d3-a456-426614174000"), (3, "thisisonlyalongwordofletters and-words-joined-by-hyphens"), (4, "EXAMPLEq7Zx9Lm2Vt4Kc8Rw1"), (5, f"token={random_}"), (6, "1-" * 20), (7, f"🙂{random_}")]
     got = {r["doc_id"]: [(f["kind"], f["start"], f["end"]) for f in r["findings"]] for r in secret_scan.secret_scan(table(rows)).collect()}
     assert got == {1: [("entropy", 4, 28)], 2: [], 3: [], 4: [], 5: [("assign", 0, 30)], 6: [], 7: [("entropy", 1, 25)]}
-    assert {r["doc_id"] for r in secret_scan.secret_scan(table(rows), allow=()).collect() if r["findings"]} >= {1, 4, 5, 7}
+    assert {r["doc_id"] for r in secret_scan.secret_scan(table(rows), allow=(), allow_words=None).collect() if r["findings"]} >= {1, 4, 5, 7}
 
 
 def test_iban_and_context(spark, table):
-    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00."), (2, "IBAN DE89 3704 0044 0532 0130 01."), (3, "call +1 555 555 0100"), (4, "serial +1 555 555 0100"), (5, "order test version GB82WEST12345698765432")]
-    got = {r["doc_id"]: [(f["kind"], f["score"]) for f in r["findings"] if f["kind"] in ("iban", "phone")] for r in pii.find_personal_data(table(rows)).collect()}
-    assert got[1] == [("iban", 1.0)] and got[2] == [] and got[5] == [("iban", 0.5)]
+    """Checksums confirm; words near a code raise and lower its score, and decide where it starts near the threshold."""
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00."), (2, "IBAN DE89 3704 0044 0532 0130 01."), (3, "call +1 555 555 0100"), (4, "serial +1 555 555 0100"), (5, "order test version GB82WEST12345698765432"), (6, "the account of this order is GB82WEST12345698765432"), (7, "GB82WEST12345698765432"), (8, "DNI 12345678Z"), (9, "number 12345678Z"), (10, "DNI 12345678A"), (11, "sécurité sociale 2 55 08 14 168 025 38"), (12, "code 255081416802538")]
+    got = {r["doc_id"]: [(f["kind"], f["score"]) for f in r["findings"] if f["kind"] in ("iban", "phone", "dni", "nir")] for r in pii.find_personal_data(table(rows)).collect()}
+    assert got[1] == [("iban", 0.9)] and got[2] == [] and got[5] == [] and got[6] == [("iban", 0.6)] and got[7] == [("iban", 0.7)]
     assert got[3][0][1] > got[4][0][1]
+    assert got[8] == [("dni", 0.6)] and got[9] == got[10] == got[12] == [] and got[11] == [("nir", 0.6)]
+
+
+def plain_codes(text):
+    """Codes that a checksum confirms, read as they are told: (start, end, kind) before any score."""
+    out, at = [], 0
+    pattern = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+    while m := pattern.search(text, at):
+        at = m.end()
+        for end in [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]:
+            code = text[m.start() : end].replace(" ", "")
+            if 15 <= len(code) <= 34 and int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in code[4:] + code[:4])) % 97 == 1:
+                out.append((m.start(), end, "iban"))
+                at = end
+                break
+    for m in re.finditer(r"(?<![A-Za-z0-9])([0-9]{8})-?([A-Z])(?![A-Za-z0-9])", text):
+        if "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[1]) % 23] == m[2]:
+            out.append((m.start(), m.end(), "dni"))
+    for m in re.finditer(r"(?<![A-Za-z0-9])([12] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{3} ?[0-9]{3}) ?([0-9]{2})(?![A-Za-z0-9])", text):
+        body = m[1].replace(" ", "")
+        if 1 <= int(body[3:5]) <= 12 and 97 - int(body) % 97 == (int(m[2]) or 97):
+            out.append((m.start(), m.end(), "nir"))
+    return sorted(out)
+
+
+def test_added_personal_spans_equal_brute_force():
+    rng = random.Random(8)
+    codes = ["ES91 2100 0418 4502 0005 1332", "BE68539007547034", "GB82WEST12345698765432", "12345678Z", "12345678-Z", "2 55 08 14 168 025 38", "255081416802538"]
+    changed = lambda c: "".join(rng.choice("0123456789") if x.isdigit() and rng.random() < 0.1 else x for x in c)
+    for _ in range(600):
+        text = " ".join(rng.choice([*codes, *map(changed, codes), "EUR", "BIC", "a", "ß", "9"]) for _ in range(rng.randint(1, 7)))
+        got = [(s, e, k) for s, _, e, k in pii.confirmed(text, 99)]
+        assert sorted(got) == plain_codes(text), text
+
+
+def plain_entropy(text, width=20):
+    """Added spans of a text, window by window: (start, end)."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    allowed = [r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"sha(1|256|384|512)[-_=].*", r"(?i)(.)\1*", r"[A-Za-z]+([-_/][A-Za-z]+)*", r"[0-9+/_=-]+"]
+    changes = lambda t: sum(t[i].isalpha() and t[i + 1].isalpha() and t[i].isupper() != t[i + 1].isupper() for i in range(len(t) - 1))
+    odd = lambda t: t.isalpha() and changes(t) >= 0.35 * len(t)
+    passed = lambda t: any(re.fullmatch(p, t, re.S) for p in allowed) and not odd(t)
+    rules = [(m.start(), m.end()) for kind, pattern, good in RULES["secret"] for m in re.finditer(pattern, text) if good(m)]
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in alphabet:
+            end += 1
+        run = text[at:end]
+        if len(run) >= 20 and not passed(run):
+            keep, part = [], ""
+            for piece in re.split(r"([/_=-]+)", run):
+                if re.search(r"(?i)example|changeme|placeholder|dummy|xxxxxx", piece):
+                    keep += [part, piece]
+                    part = ""
+                else:
+                    part += piece
+            place = at
+            for n, piece in enumerate([*keep, part]):
+                if n % 2 == 0 and len(piece) >= width and not passed(piece):
+                    letters, digits = re.search("[A-Za-z]", piece), re.search("[0-9]", piece)
+                    least = 3.0 if re.fullmatch("[0-9a-fA-F]+", piece) else 3.7
+                    least = least if digits else max(least, 4.0)
+                    if letters and (digits or changes(piece) >= 0.35 * len(piece)):
+                        high = [i for i in range(len(piece) - width + 1) if -sum(c / width * math.log2(c / width) for c in Counter(piece[i : i + width]).values()) >= least - 1e-9]
+                        spans = []
+                        for i in high:
+                            if spans and place + i <= spans[-1][1]:
+                                spans[-1] = (spans[-1][0], place + i + width)
+                            else:
+                                spans.append((place + i, place + i + width))
+                        out += [(s, e) for s, e in spans if not any(a <= s and e <= b for a, b in rules)]
+                place += len(piece)
+        at = max(end, at + 1)
+    return out
+
+
+def test_added_secret_spans_equal_brute_force(spark, table):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    pieces = [lambda: word(letters, 24), lambda: word(letters[:52], 26), lambda: word("0123456789abcdef", 22), lambda: "dummy", lambda: "/", lambda: "_", lambda: "=", lambda: " ", lambda: "é", lambda: "token=", lambda: "sha256-", lambda: word("ab1", 30), lambda: "getElementByIdFromDocument", lambda: word("0123456789", 12), lambda: "-", lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: word(letters, 70)]
+    texts = ["".join(rng.choice(pieces)() for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["/dummy/q7Zx9Lm2Vt4Kc8Rw1Yb5Nh3JQz8", "example_key=q7Zx9Lm2Vt4Kc8Rw1Yb5", "qZxmLtVbKcRwYbNhJdPsGf", "getElementByIdFromDocumentNow"]
+    got = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"] if f["kind"] == "entropy"] for r in secret_scan.secret_scan(table(list(enumerate(texts)))).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == plain_entropy(text), text
+    assert got[400] and got[401] and got[402] and not got[403]
+
+
+def test_queries_themselves(spark):
+    """The registered queries on the smallest table: one row a document, counts as the patterns have them."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    for query, rules, kinds in ((secret_scan.op1_secrets, "secret", secret_scan.BASE_KINDS), (pii.op6_pii, "pii", pii.BASE_KINDS)):
+        rows = query(spark, "/root/testdata/sf0.001").collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            assert ([r[f"n_{k}"] for k in kinds], r["base_sha256"]) == plain(rules, texts[r["doc_id"]])
+            assert len(r["scores"].split(",")) == len(r["spans"].split(","))
 
 
 def test_iban_before_upper_case_words():
