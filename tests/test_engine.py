@@ -56,7 +56,7 @@ def test_nulls_sentinels_and_literals(spark, tmp_path):
 def test_templates_encode_and_normalise(spark, tmp_path):
     rows = "id,v\n1,a b/c\n2,http://x y\n3,1.50\n4,é%\n"
     got = triples(spark, tmp_path, f'<#m> {source("t.csv")} ; rr:subjectMap [ rr:template "http://ex.org/{{id}}" ] ; {pom("v", "rr:template " + chr(34) + "http://ex.org/v/{v}" + chr(34))} , [ rr:predicate ex:w ; rr:objectMap [ rr:template "x \\\\{{{{v}}\\\\}}" ; rr:termType rr:Literal ] ] .', t__csv=rows)
-    assert [o for _, p, o in got if p == E("v")] == [E("v/a%20b%2Fc"), E("v/http://x y"), E("v/1.5"), E("v/%C3%A9%")]
+    assert [o for _, p, o in got if p == E("v")] == [E("v/a%20b%2Fc"), E("v/http://x%20y"), E("v/1.5"), E("v/%C3%A9%")]
     assert got[1][2] == '"x {a b/c}"'
 
 
@@ -120,13 +120,24 @@ def test_ntriples_and_patterns(spark, tmp_path):
 
 
 def test_sparql_endpoint(spark, tmp_path):
+    asked = []
+
     class Answer(BaseHTTPRequestHandler):
         def do_POST(self):
-            self.rfile.read(int(self.headers["Content-Length"]))
-            body = json.dumps({"head": {"vars": ["x", "n"]}, "results": {"bindings": [{"x": {"type": "uri", "value": "http://a"}, "n": {"type": "literal", "value": "N"}}, {"x": {"type": "uri", "value": "http://b"}}]}}).encode()
+            import re
+            import urllib.parse
+
+            query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["query"][0]
+            asked.append(query)
+            rows = [{"x": {"type": "uri", "value": "http://a"}, "n": {"type": "literal", "value": "N"}}, {"x": {"type": "uri", "value": "http://b"}}, {"x": {"type": "uri", "value": "http://c"}, "n": {"type": "literal", "value": "C"}}]
+            head = ["x", "n"]
+            if "COUNT(*)" in query:
+                head, rows = ["results"], [{"results": {"type": "literal", "value": str(len(rows))}}]
+            elif page := re.search(r"LIMIT (\d+) OFFSET (\d+)$", query):
+                rows = rows[int(page[2]) : int(page[2]) + int(page[1])]
             self.send_response(200)
             self.end_headers()
-            self.wfile.write(body)
+            self.wfile.write(json.dumps({"head": {"vars": head}, "results": {"bindings": rows}}).encode())
 
         def log_message(self, *_):
             pass
@@ -134,9 +145,11 @@ def test_sparql_endpoint(spark, tmp_path):
     server = HTTPServer(("127.0.0.1", 0), Answer)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/sparql"
-    m = f'@prefix sd: <http://www.w3.org/ns/sparql-service-description#> . <#s> sd:endpoint <{url}> . <#m> rml:logicalSource [ rml:source <#s> ; rml:query "SELECT ?x ?n WHERE {{ ?x ?p ?n }}" ; rml:referenceFormulation ql:CSV ] ; rr:subjectMap [ rml:reference "x" ] ; {pom("n", "rml:reference " + chr(34) + "n" + chr(34))} .'
+    m = f'@prefix sd: <http://www.w3.org/ns/sparql-service-description#> . <#s> sd:endpoint <{url}> . <#m> rml:logicalSource [ rml:source <#s> ; rml:query "SELECT ?x ?n WHERE {{ ?x ?p ?n }} ORDER BY ?x" ; rml:referenceFormulation ql:CSV ] ; rr:subjectMap [ rml:reference "x" ] ; {pom("n", "rml:reference " + chr(34) + "n" + chr(34))} .'
+    want = [("<http://a>", E("n"), '"N"'), ("<http://c>", E("n"), '"C"')]
     try:
-        assert triples(spark, tmp_path, m) == [("<http://a>", E("n"), '"N"')]
+        assert triples(spark, tmp_path, m) == want
+        assert triples(spark, tmp_path, m, Options(sparql_page=2)) == want and len({q for q in asked if "OFFSET" in q}) == 2
     finally:
         server.shutdown()
 
@@ -156,6 +169,70 @@ def test_quoted_triples_nest(spark, tmp_path):
     assert triples(spark, tmp_path, inner + outer, q__csv=rows) == sorted([(q, E("conf"), '"0.5"'), (E("doc"), E("says"), f'<< {q} {E("conf")} "0.5" >>')])
 
 
+def test_templates_make_valid_iris(spark, tmp_path):
+    """Whatever a template's values hold, no character stands in an IRI that none may hold; compat_iri keeps the older rule."""
+    rows = "n\na b\nx>y http\nq|{r}\n"
+    m = f'<#m> {source("i.csv")} ; rr:subjectMap [ rr:template "urn:x:{{n}}" ] ; {pom("v", "rr:template " + chr(34) + "http://ex.org/a b/{n}" + chr(34))} .'
+    got = triples(spark, tmp_path, m, i__csv=rows)
+    assert {s for s, _, _ in got} == {"<urn:x:a%20b>", "<urn:x:x%3Ey%20http>", "<urn:x:q%7C%7Br%7D>"}
+    assert {o for _, _, o in got} == {E("a%20b/a%20b"), E("a%20b/x%3Ey%20http"), E("a%20b/q%7C%7Br%7D")}
+    assert "<urn:x:a b>" in {s for s, _, _ in triples(spark, tmp_path, m, Options(compat_iri=True))}
+
+
+def test_list_keys_join(spark, tmp_path):
+    """A gather's members and a view's rows that are joined by a list of keys."""
+    data = json.dumps([{"id": 1, "keys": ["a", "b"]}, {"id": 2, "keys": []}, {"id": 3, "keys": ["z"]}])
+    side = "k,v\na,1\nb,2\nb,3\n"
+    member = '[ rr:parentTriplesMap <#p> ; rr:joinCondition [ rr:child "keys[*]" ; rr:parent "k" ] ]'
+    m = f'<#m> {source("l.json", "ql:JSONPath")} ; rr:subjectMap [ rr:template "http://ex.org/{{id}}" ] ; {pom("has", f"r:gather ( {member} ) ; r:gatherAs rdf:Bag")} . <#p> {source("s.csv")} ; rr:subjectMap [ rr:template "http://ex.org/p/{{v}}" ] .'
+    got = triples(spark, tmp_path, m, l__json=data, s__csv=side)
+    (node,) = [o for s, p, o in got if s == E("1") and p == E("has")]
+    assert [o for s, p, o in got if s == node and not p.endswith("type>")] == [E("p/1"), E("p/2"), E("p/3")] and not [x for x in got if x[0] in (E("2"), E("3"))]
+    v = '<#n> a r:LogicalView ; r:viewOn [ r:source "s.csv" ; r:referenceFormulation ql:CSV ] ; r:field [ r:fieldName "k" ; r:reference "k" ] ; r:field [ r:fieldName "v" ; r:reference "v" ] . <#v> a r:LogicalView ; r:viewOn [ r:source "l.json" ; r:referenceFormulation ql:JSONPath ] ; r:field [ r:fieldName "id" ; r:reference "id" ] ; r:leftJoin [ r:parentLogicalView <#n> ; r:joinCondition [ r:child "keys[*]" ; r:parent "k" ] ; r:field [ r:fieldName "w" ; r:reference "v" ] ] .'
+    over = f'<#m> rml:logicalSource <#v> ; rr:subjectMap [ rr:template "http://ex.org/{{id}}" ; rr:class ex:C ] ; {pom("w", "rml:reference " + chr(34) + "w" + chr(34))} .'
+    got = triples(spark, tmp_path, v + over)
+    assert [(s, o) for s, p, o in got if p == E("w")] == [(E("1"), '"1"'), (E("1"), '"2"'), (E("1"), '"3"')] and len(got) == 6
+
+
+def test_files_that_can_be_split_are(spark, tmp_path):
+    """Line ends in quotes and documents over lines make a file one task; without them it is split."""
+    (tmp_path / "a.csv").write_text('k,v\n1,"a ""b"" c"\n')
+    (tmp_path / "b.csv").write_text('k,v\n1,"a\nb"\n')
+    assert not readers.open_quotes(spark, str(tmp_path / "a.csv")) and readers.open_quotes(spark, str(tmp_path / "b.csv"))
+    for name, text, want in (("l.json", '{"a":1}\n\n{"a":2}\n', True), ("d.json", '{"rows":[\n{"a":1},\n{"a":2}\n]}', False), ("p.json", '[{"a":1},{"a":2}]', False), ("e.json", "", False)):
+        (tmp_path / name).write_text(text)
+        assert readers.one_a_line(spark, str(tmp_path / name)) == want
+    (tmp_path / "f.csv").write_text("a,b\n1,2\n3\n")
+    with pytest.raises(readers.SourceError):
+        triples(spark, tmp_path, f'<#m> {source("f.csv")} ; rr:subjectMap [ rr:template "http://ex.org/{{a}}" ; rr:class ex:T ] .', Options(csv_check=True))
+
+
+def test_partitioned_jdbc(spark, tmp_path):
+    """A real database over JDBC: in one task, in ranges of a column, and with no rows to part."""
+    if not spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver"):
+        pytest.skip("no embedded database")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(500).selectExpr("id AS K", "concat('v', id) AS V").write.format("jdbc").option("url", url).option("dbtable", "T").save()
+    connection = {"jdbcDSN": url}
+    split = readers.read_jdbc(spark, connection, "SELECT K, V FROM T", {"partitionColumn": "K", "numPartitions": "4"})
+    assert split.rdd.getNumPartitions() == 4 and split.count() == 500
+    assert readers.read_jdbc(spark, connection, "SELECT K FROM T", {}).count() == 500
+    assert readers.read_jdbc(spark, connection, "SELECT K FROM T WHERE K < 0", {"partitionColumn": "K"}).count() == 0
+
+
+def test_join_side_is_shuffled_once(spark, tmp_path):
+    """Two objects joined to one parent by one key share the exchange of the parent's side."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        join = 'rr:parentTriplesMap <#b> ; rr:joinCondition [ rr:child "k" ; rr:parent "k" ]'
+        graph = make(spark, tmp_path, f'<#a> {source("a.csv")} ; rr:subjectMap [ rr:template "http://ex.org/a/{{id}}" ] ; {pom("x", join)} ; {pom("y", join)} . <#b> {source("b.csv")} ; rr:subjectMap [ rr:template "http://ex.org/b/{{id}}" ] .', a__csv="id,k\n1,p\n2,q\n", b__csv="id,k\n7,p\n").graph()
+        assert len(graph.collect()) == 2 and "ReusedExchange" in graph._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_missing_reference(spark, tmp_path):
     m = f'<#m> {source("a.csv")} ; rr:subjectMap [ rr:template "http://ex.org/{{id}}" ; rr:class ex:T ] ; {pom("v", "rml:reference " + chr(34) + "gone" + chr(34))} .'
     with pytest.raises(ReferenceError_):

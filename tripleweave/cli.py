@@ -14,9 +14,11 @@ from .plans.engine import Engine
 from .plans.loader import load
 from .sinks.rdf import write, write_targets
 
+SUFFIX = {"n-triples": ".nt", "n-quads": ".nq", "turtle": ".ttl", "rdf-json": ".rj"}
+
 
 def run(spark: SparkSession, config: RunConfig) -> list[str]:
-    """The paths of what was written."""
+    """The paths of what was written: a folder a dataset, or one file where all datasets go into one."""
     options = Options(remove_duplicates=config.remove_duplicates)
     graphs, prefixes, out = [], {}, []
     for d in config.datasets:
@@ -35,8 +37,8 @@ def run(spark: SparkSession, config: RunConfig) -> list[str]:
             out.append(path)
     if graphs:
         whole = reduce(DataFrame.unionByName, graphs)
-        path = f"{config.output_folder}/{config.name}"
-        write(whole.dropDuplicates() if config.remove_duplicates else whole, path, config.output_format, prefixes)
+        path = f"{config.output_folder}/{config.name}{SUFFIX.get(config.output_format, '')}"
+        write(whole.dropDuplicates() if config.remove_duplicates else whole, path, config.output_format, prefixes, single_file=True)
         out.append(path)
     return out
 

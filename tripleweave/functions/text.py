@@ -18,12 +18,20 @@ def percent_encode(c: Column) -> Column:
     return F.when(c.rlike("[^A-Za-z0-9_.~:@=+%-]"), out).otherwise(c)
 
 
+#: Characters that no IRI may hold.
+NOT_IN_IRI = "".join(map(chr, range(0x21))) + '<>"{}|\\^`'
+
+
 def iri_safe(c: Column) -> Column:
     """An IRI with the characters that none may hold percent-encoded, all others as they are."""
     out = c
-    for bad in ' <>"{}|\\^`':
+    for bad in NOT_IN_IRI:
         out = F.replace(out, F.lit(bad), F.lit(f"%{ord(bad):02X}"))
-    return out
+    return F.when(c.rlike("[" + "".join(f"\\x{ord(x):02x}" for x in NOT_IN_IRI) + "]"), out).otherwise(c)
+
+
+def iri_safe_text(text: str) -> str:
+    return "".join(f"%{ord(x):02X}" if x in NOT_IN_IRI else x for x in text)
 
 
 def trimmed(c: Column) -> Column:

@@ -24,12 +24,18 @@ class ReferenceError_(ValueError):
 
 @dataclass(frozen=True)
 class Options:
-    """ignore: a missing reference is null, not an error. compat_lang, compat_quotes and compat_iri reproduce older
-    language matching, quote replacement and encoding of whole IRIs."""
+    """ignore: a missing reference is null, not an error. csv_multiline: whether quoted cells may hold line ends, which
+    makes a file one task; None finds out. csv_check: rows not as wide as the header are an error. jdbc: more options of
+    relational reads, as partitionColumn, numPartitions and fetchsize; with a column, its bounds are asked for if not given. compat_lang, compat_quotes
+    and compat_iri reproduce older language matching, quote replacement, and encoding of IRIs: whole ones encoded, those
+    of templates as they come."""
 
     ignore: bool = False
     remove_duplicates: bool = True
-    csv_multiline: bool = True
+    csv_multiline: bool | None = None
+    csv_check: bool = False
+    jdbc: tuple[tuple[str, str], ...] = ()
+    sparql_page: int = 0
     compat_lang: bool = False
     compat_quotes: bool = False
     compat_iri: bool = False
@@ -83,7 +89,7 @@ def references(term: TermMap | None) -> list[str]:
 
 def condition_of(template: str) -> tuple[str, str | None]:
     """(reference, condition) of `reference[field=value]`, a template's text apart from its condition."""
-    m = re.fullmatch(r"(.*?)\[([^\[\]=]+=[^\[\]]*)\]", template)
+    m = re.fullmatch(r"(.*?)\[([^\[\]=?@]+=[^\[\]=]*)\]", template)
     return (m[1], m[2]) if m else (template, None)
 
 
@@ -191,14 +197,15 @@ class Terms:
         return each(found, change)
 
     def template(self, template: str, encode: bool) -> Value:
-        parts = tokens_of(template)
+        """A template's text; a condition at its end is no part of it, and selects nothing."""
+        parts = tokens_of(condition_of(template)[0])
         values = [self._part(t) for is_ref, t in parts if is_ref]
 
         def build(columns: list[Column]) -> Column:
             out, n, text_has, seen = [], 0, False, []
             for is_ref, t in parts:
                 if not is_ref:
-                    out.append(F.lit(t))
+                    out.append(F.lit(tx.iri_safe_text(t) if encode and not self.options.compat_iri else t))
                     text_has = text_has or "http" in t
                     continue
                 c, n = columns[n], n + 1
@@ -207,7 +214,7 @@ class Terms:
                     if self.rows.kind != "json" and not text_has:
                         before = [x.contains("http") for x in seen]
                         wanted = wanted & before[0] if len(before) == 1 else (wanted & F.greatest(*before) if before else F.lit(False))
-                    out.append(F.when(wanted, tx.percent_encode(c)).otherwise(c))
+                    out.append(F.when(wanted, tx.percent_encode(c)).otherwise(c if self.options.compat_iri else tx.iri_safe(c)))
                 else:
                     out.append(c)
                 seen.append(c)

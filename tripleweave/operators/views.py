@@ -71,7 +71,8 @@ def _cells(line: Column) -> Column:
 
 
 def _embedded_csv(text: Column, fields: tuple[Field, ...], name: str) -> Column:
-    """Rows of CSV text in a cell: one struct a line under the header, a field for each sub-field."""
+    """Rows of CSV text in a cell: one struct a line under the header, a field for each sub-field. All lines are kept;
+    a JSON iterator's repeats go."""
     lines = F.filter(F.split(F.regexp_replace(text, r"\r", ""), "\n"), lambda x: F.trim(x) != "")
     header = _cells(F.get(lines, F.lit(0)))
     at = lambda x, ref: F.get(_cells(x), F.nullif(F.array_position(header, ref), F.lit(0)).cast("int") - 1)
@@ -129,7 +130,8 @@ def _nested_rows(rows: Rows, terms: Terms, f: Field) -> Column:
                 out.append(tx.text_of(inner[0](x), inner[1]).alias(sub.name))
         return F.struct(*out)
 
-    return F.transform(column, build)
+    made = F.transform(column, build)
+    return distinct_items(made) if rows.kind == "json" else made
 
 
 def _list_at(kind: T.DataType, steps: list[tuple]):
@@ -147,6 +149,22 @@ def _list_at(kind: T.DataType, steps: list[tuple]):
     return (lambda c: F.when(get(c).isNotNull(), F.array(get(c)))), kind
 
 
+def _record(rows: Rows, f: Field) -> Column | None:
+    """A field that names a record of nested rows, as texts of what it holds directly; it becomes a column for each."""
+    if rows.kind != "json" or "item" not in rows.df.columns or (f.term is not None and f.term.form != "reference"):
+        return None
+    kind, column = rows.df.schema["item"].dataType, F.col("item")
+    for step in segments(f.term.value if f.term else f.name):
+        found = next((x for x in kind.fields if x.name == step[1]), None) if isinstance(kind, T.StructType) and step[0] == "name" else None
+        if found is None:
+            return None
+        kind, column = found.dataType, column.getField(step[1])
+    if not isinstance(kind, T.StructType):
+        return None
+    plain = [x for x in kind.fields if not isinstance(x.dataType, T.StructType | T.ArrayType | T.MapType)]
+    return F.when(column.isNotNull(), F.struct(*[tx.text_of(column.getField(x.name), x.dataType).alias(x.name) for x in plain]))
+
+
 def view_rows(engine, view: View) -> Rows:
     """A view's rows: one column a field, with # the place of the source's row and field.# that of an item in its
     list. Places are given before joins, so rows that an inner join drops leave gaps."""
@@ -165,16 +183,24 @@ def view_rows(engine, view: View) -> Rows:
     for f in view.fields:
         if f.iterator or f.formulation:
             columns.append(_nested_rows(rows, terms, f).alias(f.name))
+        elif (record := _record(rows, f)) is not None:
+            columns.append(record.alias(f.name))
         elif f.term is None:
             columns.append(terms.reference(f.name).column.alias(f.name))
         else:
             columns.append(terms.text(f.term).column.alias(f.name))
-    keyed, joins = [], []
+    keyed, joins, lists = [], [], []
     for n, j in enumerate(view.joins):
         for i, c in enumerate(j.conditions):
-            keyed.append(terms.text(c.child).column.alias(f"__key{n}_{i}"))
+            key = terms.text(c.child)
+            keyed.append(key.column.alias(f"__key{n}_{i}"))
+            lists += [f"__key{n}_{i}"] if key.many else []
         joins.append((n, j))
     df = terms.frame().select(*columns, *keyed)
+    for name in lists:  # a list of keys joins by each of its items
+        df = df.withColumn(name, F.explode_outer(name))
+    if has_nested(df):
+        df = flatten_struct(df)
     for n, j in joins:
         df = _joined(engine, df, n, j)
     return flat(flatten_lists(df), "view")
@@ -185,8 +211,10 @@ def _joined(engine, df: DataFrame, n: int, j) -> DataFrame:
     terms = Terms(parent, engine.options, engine.mapping.base)
     names = [f"__parent{n}_{i}" for i in range(len(j.conditions))]
     fields = [(terms.text(f.term).column if f.term else terms.reference(f.name).column).alias(f.name) for f in j.fields]
-    keys = [terms.text(c.parent).column.alias(k) for k, c in zip(names, j.conditions)]
-    side = terms.frame().select(*keys, *fields)
+    made = [terms.text(c.parent) for c in j.conditions]
+    side = terms.frame().select(*[key.column.alias(k) for k, key in zip(names, made)], *fields)
+    for k, key in zip(names, made):
+        side = side.withColumn(k, F.explode(k)) if key.many else side
     for k in names:
         side = side.where(F.col(k) != "")
     side = side.distinct()

@@ -88,10 +88,10 @@ class Engine:
         return self.read[source]
 
     def spread(self, rows: Rows) -> Rows:
-        """Rows of a source that is read by fewer tasks than there are cores (a file that cannot be split) are dealt
-        over all of them before terms are made."""
+        """Rows of files that cannot be split, fewer than there are cores, are dealt over all of them before terms are
+        made."""
         cores = self.spark.sparkContext.defaultParallelism
-        if rows.kind in ("mysql", "postgres") or rows.df.rdd.getNumPartitions() >= cores:
+        if rows.kind in ("mysql", "postgres") or not rows.whole_files or len(rows.df.inputFiles()) >= cores:
             return rows
         return replace(rows, df=rows.df.repartition(cores))
 
@@ -137,10 +137,19 @@ class Engine:
         name = f"__joined{self.joins}"
         side = self.parent_side(parent, conditions, token, parent_rows)
         by = [f"k{i}" for i in range(len(conditions))]
-        lists = side.groupBy(*by).agg(F.sort_array(F.collect_set("token")).alias(name))
-        lists = lists.select(*[F.col(k).alias(f"{name}{k}") for k in by], name)
-        on = reduce(lambda x, y: x & y, [k == F.col(f"{name}k{i}") for i, k in enumerate(self.keys(rows, [c.child for c in conditions]))])
-        after = replace(rows, df=self.frame(rows).join(lists, on, "left").drop(*[f"{name}{k}" for k in by]))
+        made = [self.terms(rows).text(c.child) for c in conditions]
+        own = [f"{name}k{i}" for i in range(len(by))]
+        if any(k.many for k in made):
+            # each different list of keys meets the parents of any of its items once
+            lists = self.frame(rows).select(*[k.column.alias(n) for k, n in zip(made, own)]).distinct()
+            keyed = lists
+            for k, n, key in zip(made, own, by):
+                keyed = keyed.withColumn(key, F.explode(n) if k.many else F.col(n))
+            lists = keyed.join(side, by).groupBy(*own).agg(F.sort_array(F.collect_set("token")).alias(name))
+        else:
+            lists = side.groupBy(*by).agg(F.sort_array(F.collect_set("token")).alias(name)).select(*[F.col(k).alias(n) for k, n in zip(by, own)], name)
+        on = reduce(lambda x, y: x & y, [k.column == F.col(n) for k, n in zip(made, own)])
+        after = replace(rows, df=self.frame(rows).join(lists, on, "left").drop(*own))
         self.made[id(after)] = Terms(after, self.options, self.mapping.base, self.terms(rows))
         return after, Value(F.col(name), None, True)
 

@@ -9,10 +9,10 @@ import re
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import NULL_TOKENS
 from ..plans.model import Source
@@ -23,12 +23,14 @@ Resolver = Callable[[str], Value | None]
 
 @dataclass(frozen=True)
 class Rows:
-    """A source's rows. kind is csv, json, xml, mysql, postgres or view; tokens are cells that mean null."""
+    """A source's rows. kind is csv, json, xml, mysql, postgres or view; tokens are cells that mean null; whole_files: its
+    files cannot be split over tasks."""
 
     df: DataFrame
     resolve: Resolver
     kind: str
     tokens: tuple[str, ...] = ()
+    whole_files: bool = False
 
 
 class SourceError(ValueError):
@@ -60,11 +62,18 @@ def _flat(df: DataFrame, kind: str, tokens: tuple[str, ...] = (), fold: bool = F
 # --- delimited text
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, **options) -> DataFrame:
-    """All columns as text; quoted cells may hold line ends and doubled quotes; empty cells are empty text. With
-    multiLine off, cells hold no line ends and large files are split over tasks."""
+def open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a line holds an odd number of quotes, so that a cell goes on in the next: one pass over the text, split
+    over tasks and ended by the first such line."""
+    return not spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool | None = None, **options) -> DataFrame:
+    """All columns as text; doubled quotes and empty cells as they are meant. multiline: whether quoted cells may hold
+    line ends, in which case a file is one task; None finds out, so that all other files are split over tasks."""
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else ",")
-    reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\u0000").option("sep", delimiter)
+    multiline = open_quotes(spark, path) if multiline is None else multiline
+    reader = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("emptyValue", "").option("nullValue", "\u0000").option("sep", delimiter)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.csv(path)
@@ -84,9 +93,20 @@ def csv_faults(spark: SparkSession, path: str, delimiter: str = ",") -> int:
 # --- JSON
 
 
-def read_json(spark: SparkSession, path: str, iterator: str | None = None, lines: bool = False) -> DataFrame:
-    """One row, in the column `item`, for each value at the iterator. The path is split over the cluster when the file
-    has a document a line."""
+def one_a_line(spark: SparkSession, path: str) -> bool:
+    """Whether a file has a JSON record a line, by its first two lines that are not empty: two whole records tell so,
+    since a document that goes on over lines has none on its second."""
+    first = [r[0] for r in spark.read.text(path).where(F.trim("value") != "").limit(2).collect()]
+    try:
+        return len(first) == 2 and all(isinstance(json.loads(x), dict) for x in first)
+    except ValueError:
+        return False
+
+
+def read_json(spark: SparkSession, path: str, iterator: str | None = None, lines: bool | None = None) -> DataFrame:
+    """One row, in the column `item`, for each value at the iterator. The path is split over the cluster when its files
+    have a record a line; lines says so, None looks."""
+    lines = one_a_line(spark, path) if lines is None else lines
     df = spark.read.option("multiLine", not lines).option("primitivesAsString", False).json(path)
     whole = df.select(F.struct(*[_column(c) for c in df.columns]).alias("item"))
     return iterate(whole, iterator)
@@ -199,7 +219,29 @@ def dialect_of(connection: dict[str, str]) -> str:
     return "postgres" if "postgres" in text else "sqlserver" if "sqlserver" in text else "mysql"
 
 
-def read_relational(spark: SparkSession, source: Source, columns: list[str]) -> Rows:
+def read_jdbc(spark: SparkSession, connection: dict[str, str], query: str, options: dict[str, str]) -> DataFrame:
+    """A query over JDBC. With a partitionColumn (numPartitions, 16 if not given) the read is split in ranges of it; the
+    bounds are asked of the database where none are given. Rows come in batches of fetchsize (10,000 if not given)."""
+    options = {"fetchsize": "10000"} | options
+    reader = spark.read.format("jdbc").option("url", connection["jdbcDSN"])
+    for option, name in (("driver", "jdbcDriver"), ("user", "username"), ("password", "password")):
+        if connection.get(name):
+            reader = reader.option(option, connection[name])
+    column = options.get("partitionColumn")
+    if not column:
+        return reader.options(**options).option("query", query).load()
+    options.setdefault("numPartitions", "16")
+    if "lowerBound" not in options:
+        ends = reader.option("query", f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM ({query}) bounds_of").load().first()
+        reader = spark.read.format("jdbc").options(**{k: v for k, v in (("url", connection["jdbcDSN"]), ("driver", connection.get("jdbcDriver")), ("user", connection.get("username")), ("password", connection.get("password"))) if v})
+        if ends[0] is None:  # no rows, or none with a value to part them by
+            options = {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions")}
+            return reader.options(**options).option("query", query).load()
+        options |= {"lowerBound": str(ends[0]), "upperBound": str(ends[1])}
+    return reader.options(**options).option("dbtable", f"({query}) read_of").load()
+
+
+def read_relational(spark: SparkSession, source: Source, columns: list[str], jdbc: dict[str, str] | None = None) -> Rows:
     """Over JDBC where a connection is given, else from the session's tables and views."""
     connection = dict(source.connection)
     dialect = dialect_of(connection)
@@ -207,11 +249,7 @@ def read_relational(spark: SparkSession, source: Source, columns: list[str]) ->
     if query is None:
         raise SourceError("a relational source needs a table or a query")
     if connection.get("jdbcDSN"):
-        reader = spark.read.format("jdbc").option("url", connection["jdbcDSN"]).option("query", query.rstrip().rstrip(";"))
-        for option, name in (("driver", "jdbcDriver"), ("user", "username"), ("password", "password")):
-            if connection.get(name):
-                reader = reader.option(option, connection[name])
-        df = reader.load()
+        df = read_jdbc(spark, connection, query.rstrip().rstrip(";"), dict(jdbc or {}))
     elif source.query:
         df = spark.sql(source.query.rstrip().rstrip(";"))
     else:
@@ -299,12 +337,34 @@ def select_query(triples: DataFrame, query: str) -> DataFrame:
 
 
 class _EndpointReader(DataSourceReader):
+    """Without `page` the query is one request. With it, the endpoint is asked for the number of results, and each page
+    of so many is a task of its own; the query should be ordered, as endpoints owe no order otherwise."""
+
     def __init__(self, options):
         self.options = options
 
+    def partitions(self):
+        page = int(self.options.get("page", 0))
+        if not page:
+            return [InputPartition(None)]
+        return [InputPartition((page, at)) for at in range(0, max(1, self.ask(counting(self.options["query"]))[0]), page)]
+
+    def ask(self, query):
+        """The first row of a query's answer."""
+        row = next(iter(fetch(self.options["url"], query, float(self.options.get("timeout", 60)))[1]))
+        return [int(x) for x in row]
+
     def read(self, partition):
-        for row in fetch(self.options["url"], self.options["query"], float(self.options.get("timeout", 60)))[1]:
-            yield row
+        query = self.options["query"]
+        if partition.value:
+            query += " LIMIT {} OFFSET {}".format(*partition.value)
+        yield from fetch(self.options["url"], query, float(self.options.get("timeout", 60)))[1]
+
+
+def counting(query: str) -> str:
+    """The query that counts another's results."""
+    start = re.search(r"(?i)\bSELECT\b", query).start()
+    return f"{query[:start]} SELECT (COUNT(*) AS ?results) WHERE {{ {{ {query[start:]} }} }}"
 
 
 def fetch(url: str, query: str, timeout: float = 60) -> tuple[list[str], list[tuple]]:
@@ -334,15 +394,19 @@ class SparqlEndpoint(DataSource):
 def read(spark: SparkSession, source: Source, references: list[str], options) -> Rows:
     """The rows of a source; references are all that a map reads of it."""
     if source.formulation == "CSV":
-        df = read_csv(spark, source.location, multiLine=options.csv_multiline)
+        if options.csv_check and (faults := csv_faults(spark, source.location)):
+            raise SourceError(f"{source.location}: {faults} rows are not as wide as the header")
+        multiline = open_quotes(spark, source.location) if options.csv_multiline is None else options.csv_multiline
+        df = read_csv(spark, source.location, multiline=multiline)
         tokens = (*(NULL_TOKENS if options.null_tokens else ()), *source.null_values)
-        return _flat(df, "csv", tokens)
+        return replace(_flat(df, "csv", tokens), whole_files=multiline)
     if source.formulation == "JSONPath":
-        return nested(read_json(spark, source.location, source.iterator, source.location.endswith((".jsonl", ".ndjson"))))
+        lines = source.location.endswith((".jsonl", ".ndjson")) or one_a_line(spark, source.location)
+        return replace(nested(read_json(spark, source.location, source.iterator, lines)), whole_files=not lines)
     if source.formulation == "XPath":
         return read_xml(spark, source.location, source.iterator, references)
     if source.formulation == "SQL":
-        return read_relational(spark, source, references)
+        return read_relational(spark, source, references, dict(options.jdbc))
     if source.formulation == "NTriples":
         triples = read_ntriples(spark, source.location)
         query = source.query or source.iterator
@@ -350,7 +414,7 @@ def read(spark: SparkSession, source: Source, references: list[str], options) ->
         return _flat(df, "csv")
     if source.formulation == "SPARQL":
         spark.dataSource.register(SparqlEndpoint)
-        df = spark.read.format("sparql_endpoint").option("url", source.location.removeprefix("endpoint:")).option("query", source.query or source.iterator).load()
+        df = spark.read.format("sparql_endpoint").option("url", source.location.removeprefix("endpoint:")).option("query", source.query or source.iterator).option("page", options.sparql_page).load()
         return _flat(df, "csv")
     raise SourceError(f"unknown reference formulation {source.formulation}")
 
