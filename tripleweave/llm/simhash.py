@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .base import arrow_bounds, cut, hinted, per_text, uncut
 from .components import components
@@ -374,26 +374,42 @@ def confirmed(sets: DataFrame, similarity: float = 0.8, rows: int = SETS, shingl
     return found.unionByName(_compared(rest.select(pair, "row", "shingles").unionByName(others.select(pair, "row", "shingles")), similarity))
 
 
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id, digest: MD5 of the text, node) of each row, and (node, component_id, keeper, rows) of each different set of
     shingles: keeper is the (without id, id, digest) of the class's row that comes first."""
     from xxhash import xxh3_64_digest
 
     both = int(SHORT / similarity + 1e-9)
+    named = lambda f, s: f + xxh3_64_digest(s.tobytes())
 
     def work(texts: list[bytes]) -> list[list]:
+        digests, nodes, sizes, keys = [], [], [], []
+        for x in texts:
+            f, s = wide_fingerprint(x, shingle)
+            digests.append(hashlib.md5(x).digest()), nodes.append(named(f, s)), sizes.append(len(s))
+            keys.append((band_keys(s) if len(s) > SHORT else []) + (short_keys(s, similarity) if 0 < len(s) <= both else []))
+        return [digests, nodes, sizes, keys]
+
+    def again(texts: list[bytes]) -> list[list]:
         found = [wide_fingerprint(x, shingle) for x in texts]
-        bodies = [s.tobytes() for _, s in found]
-        keys = [(band_keys(s) if len(s) > SHORT else []) + (short_keys(s, similarity) if 0 < len(s) <= both else []) for _, s in found]
-        return [[hashlib.md5(x).digest() for x in texts], [f + xxh3_64_digest(x) for (f, _), x in zip(found, bodies)], [len(s) for _, s in found], keys, bodies]
+        return [[named(*x) for x in found], [len(s) for _, s in found], [s.tobytes() for _, s in found]]
 
-    fields = [T.StructField("digest", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())]
-    prints = cut(per_text(df, work, fields, id_col, text_col).withColumnRenamed(id_col, "id").withColumn("row", F.monotonically_increasing_id()))
+    node, size = T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType())
+    prints = cut(per_text(df, work, [T.StructField("digest", T.BinaryType()), node, size, T.StructField("keys", T.ArrayType(T.LongType()))], id_col, text_col).withColumnRenamed(id_col, "id").withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "digest")).alias("first")
     nodes = cut(prints.groupBy("node", "size").agg(first, F.min("row").alias("row"), F.count("*").alias("rows"), F.first("keys").alias("keys")))
     groups = cut(components(candidates(nodes, radius, similarity)))
-    chosen = hinted(cut(groups.select(F.col("node").alias("row"), "root")))
-    sets = cut(prints.join(chosen, "row").select("root", "row", "size", "shingles"))
+    chosen = cut(nodes.join(hinted(groups.select(F.col("node").alias("row"), "root")), "row").select("node", "row", "root", "first.id", "first.digest"))
+    # sets are made again for candidates alone, so that none is kept of the many texts that are like no other
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_digest(text_col).alias("digest"))
+    wanted = hinted(cut(chosen.select(F.col("id").alias("its"), F.col("digest").alias("own"))))
+    some = texts.join(wanted, F.col("id").eqNullSafe(F.col("its")) & (F.col("digest") == F.col("own")), "left_semi")
+    made = per_text(some, again, [node, size, T.StructField("shingles", T.BinaryType())], "id", "text")
+    sets = cut(made.join(hinted(chosen.select("node", "row", "root")), "node").select("root", "row", "size", "shingles"))
     roots = cut(components(confirmed(sets, similarity)))
     uncut(sets)
     rooted = nodes.join(hinted(roots.select(F.col("node").alias("row"), "root")), "row", "left").select("node", "first", "rows", F.coalesce("root", "row").alias("root"))
@@ -424,7 +440,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     crowded = hinted(cut(classes.where("rows > 1").select("node", "keeper")))
     stays = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("digest") == F.col("keeper.digest"))
     found = cut(prints.join(crowded, "node").groupBy("id", "digest").agg(F.max(stays).alias("stays"), F.count("*").alias("rows")))
-    return kept_rows(df, found, id_col, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return kept_rows(df, found, id_col, text_digest(text_col))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
