@@ -135,8 +135,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 #: differ in 39 bits, give or take 6; those of unrelated texts in 128, give or take 8.
 WIDE, WIDE_SHINGLE, WIDE_RADIUS = 256, 5, 72
 #: Texts meet in a bucket of a band: ROWS least hashes that they share. At a similarity of 0.8 one of BANDS bands is
-#: shared with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, which is 0.9993; at 0.4 with 0.09.
-BANDS, ROWS = 24, 6
+#: shared with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS, which is 0.9992; at 0.3 with 0.04.
+BANDS, ROWS = 18, 5
 #: Pairs in which a text has at most so many shingles meet by shared least shingles, which misses none.
 SHORT = 32
 #: A bucket of more rows names its rows candidates of its first without comparing fingerprints.
@@ -144,27 +144,60 @@ BUCKET = 4096
 #: Rows and shingles of one side of a task of exact comparison.
 SETS, SET_SHINGLES = 512, 1 << 20
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+_FACTORS = np.random.default_rng(43).integers(0, 1 << 63, WIDE_SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES, _PLUS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
 
 
-def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> tuple[bytes, np.ndarray]:
-    """256 majority bits over two 128-bit hashes of each distinct shingle, and the sorted 64-bit hashes of the distinct
-    shingles (none without words)."""
-    from xxhash import xxh3_128_digest
+class WordHashes(dict):
+    """64-bit hashes by word, kept by a Python worker up to MOST words, then begun anew."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = made = xxh3_64_intdigest(word, 42)
+        return made
+
+
+_words = WordHashes()
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which each bit depends on all (the finalizer of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles (fewer words than a shingle are one), made of its words'
+    hashes by a sum with an odd factor for each place."""
+    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    factors = np.random.default_rng(43).integers(0, 1 << 63, shingle, np.uint64) * np.uint64(2) + np.uint64(1) if shingle != WIDE_SHINGLE else _FACTORS
+    n = min(shingle, len(each))
+    total = np.full(len(each) - n + 1, np.uint64(n))
+    for k in range(n):
+        total += each[k : len(each) - n + 1 + k] * factors[k]
+    keys = np.sort(mixed(total))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE, part: int = 255) -> tuple[bytes, np.ndarray]:
+    """256 majority bits over four 64-bit hashes of each distinct shingle, and the sorted 64-bit hashes of the distinct
+    shingles (none without words)."""
     words = raw.lower().split()
     if not words:
         return bytes(WIDE // 8), np.empty(0, np.uint64)
-    body = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    spans = {body[i:j] for i, j in zip(np.concatenate([[0], ends[: n - 1] + 1]).tolist(), ends[len(words) - n :].tolist())}
-    n, counts, keys = len(spans), [], np.empty(0, np.uint64)
-    for seed in (42, 43):
-        lanes = np.frombuffer(b"".join([xxh3_128_digest(x, seed) for x in spans]), np.uint8).reshape(n, 16)
-        keys = keys if len(keys) else lanes.view(np.uint64)[:, 0]
-        counts += [np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(16)] if n > 64 else [np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0)]
-    return np.packbits(np.concatenate(counts) * 2 > n, bitorder="little").tobytes(), np.unique(keys)
+    keys = shingle_hashes(words, shingle)
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(keys), part):
+        lanes = mixed(keys[at : at + part, None] + _GOLDEN * np.arange(1, WIDE // 64 + 1, dtype=np.uint64))
+        counts += np.add.reduce(np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)  # up to 255 fit
+    return np.packbits(counts * 2 > len(keys), bitorder="little").tobytes(), keys
 
 
 def near_pairs(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
