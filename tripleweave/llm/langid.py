@@ -6,7 +6,7 @@ import logging
 import re
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .base import arrow_bounds, per_text
@@ -143,12 +143,12 @@ def accepted(df: DataFrame, model: Model, text_col: str = "text", least: float =
     arrow_bounds(df.sparkSession)
     ready: list[dict] = []
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
         if not ready:
             ready.append(model.compressors())
-        found = (judge(t or "", ready[0], model.block) for t in texts)
-        return pd.Series([k != UNDETERMINED and m >= least for k, m in found], dtype=bool)
+        found = (judge(t.as_py() or "", ready[0], model.block) for t in texts)
+        return pa.array([k != UNDETERMINED and m >= least for k, m in found], pa.bool_())
 
     return df.where(keep(F.col(text_col)))
 
