@@ -147,6 +147,7 @@ def _word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 add_mapping("q23_lv_flatten_lists", view("v", "words", f"{field('p_partkey')} ; {field('names')} ; {field('types')}") + over("v", "http://ex.org/part/{p_partkey}", 'ex:name|rr:template "{names.#}:{names}" ; rr:termType rr:Literal', 'ex:type|rr:template "{types.#}:{types}" ; rr:termType rr:Literal', 'ex:both|rr:template "{names}{types}" ; rr:termType rr:Literal'), tables_of(words=_word_lists), triples_sql(*[select(iri("part/", "p_partkey"), P(p), "'\"' || (i - 1) || ':' || w || '\"'", f"(SELECT p_partkey, unnest(string_split({c}, ' ')) AS w, generate_subscripts(string_split({c}, ' '), 1) AS i FROM part) WHERE trim(w) <> ''") for p, c in (("name", "p_name"), ("type", "p_type"))]))
 add_mapping("q24_lv_item_index", view("v", "roles", f"{field('conv_id')} ; {field('roles')}") + over("v", "http://ex.org/conv/{conv_id}", 'ex:turn|rr:template "http://ex.org/turn/{roles.#}/{roles}"'), tables_of(roles=lambda s, d: _roles(s, d)), select(iri("conv/", "conv_id"), P("turn"), iri("turn/", "n || '/' || role"), "(SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)"))
 add_mapping("q25_lv_row_index", view("v", "nation", field("n_name")) + over("v", "http://ex.org/nation/{n_name}", 'ex:place|rml:reference "#"'), tables_of(nation=lambda s, d: table(s, d, "nation").orderBy("n_nationkey").coalesce(1)), select(iri("nation/", ENCODE.format("n_name")), P("place"), "'\"' || n || '\"'", "(SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation)"))
+add_mapping("q25b_lv_row_index_over_parts", view("v", "orders", field("o_orderkey")) + over("v", "http://ex.org/order/{o_orderkey}", 'ex:place|rml:reference "#"'), tables_of(orders=lambda s, d: table(s, d, "orders").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")), select(iri("order/", "o_orderkey"), P("place"), "'\"' || n || '\"'", "(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders)"))
 add_mapping("q26_view_over_view", view("inner", "region", f"{field('key', 'r:reference ' + chr(34) + 'r_regionkey' + chr(34))} ; {field('name', 'r:reference ' + chr(34) + 'r_name' + chr(34))}") + '<#v> a r:LogicalView ; r:viewOn <#inner> ; r:field [ r:fieldName "title" ; r:reference "name" ] ; r:field [ r:fieldName "id" ; r:reference "key" ] .\n' + over("v", "http://ex.org/region/{id}", 'ex:title|rml:reference "title"'), tables_of("region"), select(iri("region/", "r_regionkey"), P("title"), "'\"' || r_name || '\"'", "region"))
 
 
