@@ -27,14 +27,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     mark = sign(now)
     while mark[0]:
-        both = cut(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = _least(both)
-        large = both.join(hinted(least), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = cut(large.where("a <> b").distinct())
+        large = cut(both.join(hinted(least), "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b"))
         lower = _least(large)
         small = large.join(hinted(lower), "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         after = cut(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
-        uncut(now, both, least, large, lower)
+        uncut(now, least, large, lower)
         now = after
         before, mark = mark, sign(now)
         if mark == before:
