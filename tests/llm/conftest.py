@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Columns whose names an operator might use itself.
-CLASHING = ["id", "size", "h", "rows", "shard", "kept", "fp", "start", "kind", "media", "order", "root", "row"]
+CLASHING = ["__digest", "__order", "__source", "__turn", "__last0", "id", "size", "h", "rows", "shard", "kept", "fp", "start", "kind", "media", "order", "root", "row"]
 
 
 @pytest.fixture

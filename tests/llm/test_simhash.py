@@ -61,9 +61,13 @@ def test_empty(table):
     assert out.count() == 0 and out.columns[:3] == ["doc_id", "fingerprint", "component_id"]
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_links_connect_what_brute_force_connects(spark, tile):
-    """A crowded neighbourhood, in whole buckets and in tiles."""
+def test_keys_grow_with_the_table():
+    assert [simhash.blocks_for(n, 2) for n in (0, 10**6, 10**8, 10**10, 10**11)] == [3, 3, 4, 4, 5]
+
+
+@pytest.mark.parametrize("tile,blocks", [(4, 3), (2048, None), (2048, 4), (4, 5)])
+def test_links_connect_what_brute_force_connects(spark, tile, blocks):
+    """A crowded neighbourhood, in whole buckets and in tiles, by keys of few bits and of many."""
     rng = random.Random(3)
     centre = rng.getrandbits(64)
     values = {centre}
@@ -75,7 +79,7 @@ def test_links_connect_what_brute_force_connects(spark, tile):
     values |= {rng.getrandbits(64) for _ in range(100)} | {0, 1, 2**64 - 1}
     prints = [(i, v) for i, v in enumerate(sorted(values))]
     df = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for _, v in prints], "fp long")
-    found = components(simhash.links(df, 2, tile))
+    found = components(simhash.links(df, 2, tile, blocks))
     root = {r["node"]: r["root"] for r in found.collect()}
     want = plain_components(prints)
     signed = [int(np.uint64(v).astype(np.int64)) for _, v in prints]

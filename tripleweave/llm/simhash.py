@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -67,18 +68,45 @@ def linked(values: np.ndarray, radius: int, tile: int = 512) -> tuple[np.ndarray
     return values[member], values[forest.root[member]]
 
 
-def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
+#: Fingerprints that a bucket may hold on average before keys of more bits are taken.
+CROWD = 16
+
+
+def block_keys(radius: int, blocks: int) -> Column:
+    """An array of (band, block): each choice of all but radius of a fingerprint's blocks is a band. Two values that differ
+    in at most radius bits differ in at most radius blocks, and so agree on one of them whole."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    part = [(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)), hi - lo) for lo, hi in zip(edges, edges[1:])]
+    keys = []
+    for band, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        value = F.lit(0).cast("long")
+        for k in chosen:
+            value = F.shiftleft(value, part[k][1]).bitwiseOR(part[k][0])
+        keys.append(F.struct(F.lit(band).alias("band"), value.alias("block")))
+    return F.array(*keys)
+
+
+def blocks_for(rows: int, radius: int) -> int:
+    """How many blocks, so that keys have bits enough for buckets of CROWD of so many values."""
+    blocks = radius + 1
+    while blocks < 16 and rows >> 64 * (blocks - radius) // blocks > CROWD:
+        blocks += 1
+    return blocks
+
+
+def links(prints: DataFrame, radius: int = 2, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """(a, b): edges that connect all distinct fingerprints (column fp) within radius bits, directly or over others.
 
-    Two values at most radius bits apart agree on one of radius + 1 blocks, so only rows of a block's bucket are
-    compared. A bucket of over `tile` rows falls into tiles by population count and hash; a pair of tiles is a task's
-    work of its own, and pairs whose counts differ beyond the radius are never made. Within a task numpy compares by
-    exclusive-or and bit counts, and gives a forest, never all pairs.
+    Two values at most radius bits apart agree on all but radius of their blocks, so only rows of one bucket are compared. There
+    are radius + 1 blocks, or more for tables so large that buckets of their bits would fill: keys grow longer with the
+    table, and what is compared grows with its rows and not with their square. A bucket of over `tile` rows falls into
+    tiles by population count and hash; a pair of tiles is a task's work of its own, and pairs whose counts differ beyond
+    the radius are never made. Within a task numpy compares by exclusive-or and bit counts, and gives a forest, never
+    all pairs.
     """
     arrow_bounds(prints.sparkSession)
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    blocks = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("block")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    rows = prints.select("fp", F.bit_count("fp").alias("bits"), F.explode(blocks).alias("key")).select("fp", "bits", "key.*")
+    blocks = blocks or blocks_for(prints.count(), radius)
+    rows = prints.select("fp", F.bit_count("fp").alias("bits"), F.explode(block_keys(radius, blocks)).alias("key")).select("fp", "bits", "key.*")
     large = cut(rows.groupBy("band", "block", "bits").agg(F.count("*").alias("n")).groupBy("band", "block").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") > tile))
     placed = rows.join(hinted(large), ["band", "block"], "left")
     cells = F.ceil(F.col("most") / F.lit(tile)).cast("int")
@@ -148,21 +176,6 @@ _FACTORS = np.random.default_rng(43).integers(0, 1 << 63, WIDE_SHINGLE, np.uint6
 _TIMES, _PLUS = _RANDOM[0] * np.uint64(2) + np.uint64(1), _RANDOM[1]
 
 
-class WordHashes(dict):
-    """64-bit hashes by word, kept by a Python worker up to MOST words, then begun anew."""
-
-    MOST = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = made = xxh3_64_intdigest(word, 42)
-        return made
-
-
-_words = WordHashes()
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,7 +189,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles (fewer words than a shingle are one), made of its words'
     hashes by a sum with an odd factor for each place."""
-    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    from xxhash import xxh3_64_intdigest
+
+    each = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
     factors = np.random.default_rng(43).integers(0, 1 << 63, shingle, np.uint64) * np.uint64(2) + np.uint64(1) if shingle != WIDE_SHINGLE else _FACTORS
     n = min(shingle, len(each))
     total = np.full(len(each) - n + 1, np.uint64(n))
