@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from tripleweave.llm import langid, packing
 
 from .test_native import SPACES, plain_targets
-from .test_simhash import plain_class
+from .test_simhash import plain_classes
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -44,8 +44,7 @@ def plain_exact(rows):
 
 def plain_near(rows):
     best = {}
-    for n, row in enumerate(rows):
-        root = plain_class(rows, n)
+    for root, row in zip(plain_classes(rows), rows):
         rank = (row[0] is None, row[0] or 0, hashlib.md5((row[1] or "").encode()).digest())
         if root not in best or rank < best[root][0]:
             best[root] = (rank, row)

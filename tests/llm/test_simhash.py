@@ -211,10 +211,11 @@ def test_one_row_of_each_class_stays(table, edge_rows):
     least = min(((hashlib.md5(t.encode()).hexdigest(), t) for t in (" ".join(words), " ".join(words[:-3]))))[1]
     want = [("1", least), ("9", "alone in its class"), ("9", "another text of this id"), ("None", "no id here")]
     assert [x for x in kept if x[0] in ("1", "2", "9")] == want[:3] and want[3] in kept
-    assert out.columns == df.columns and len(kept) == len({plain_class(rows, k) for k in range(len(rows))})
+    assert out.columns == df.columns and len(kept) == len(set(plain_classes(rows)))
 
 
-def plain_class(rows, k):
+def plain_classes(rows):
+    """The first row that each row reaches over pairs of the similarity."""
     sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t, *_ in rows]
     root = list(range(len(rows)))
     for i in range(len(rows)):
@@ -222,7 +223,7 @@ def plain_class(rows, k):
             if root[i] != root[j] and (sets[i] == sets[j] or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
-    return root[k]
+    return root
 
 
 def test_recall_on_shared_documents(spark):
