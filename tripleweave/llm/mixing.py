@@ -143,7 +143,7 @@ def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     key, source, turn, *names = fresh(df, "__order", "__source", "__turn", *[f"__last{e}" for e in epochs])
     cuts = hinted(ends.select(F.col("source").alias(source), F.col("turn").alias(turn), *[F.col(f"last{e}").alias(n) for e, n in enumerate(names)]))
     keyed = df.withColumn(key, order_key(id_col, text_col))
-    joined = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts[source])).where(word_count(F.col(text_col)) > 0)
+    joined = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts[source])).where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))  # has words
     split = cut(counted.where(reduce(lambda a, b: a | b, [(F.col(f"took{e}") > 0) & (F.col(f"took{e}") < F.col("n")) for e in epochs])))
     times = reduce(lambda a, b: a + b, [F.coalesce((F.col(key) <= F.col(n)).cast("int"), F.lit(0)) for n in names])
     repeat = lambda rows, n: rows.withColumn(turn, F.explode(F.array_repeat(F.lit(0), n))).select(*own_columns(df))
