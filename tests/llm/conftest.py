@@ -23,3 +23,15 @@ def edge_rows():
     """Nulls, empty and long texts, ties, rows repeated whole."""
     long = "word " * 30_000
     return [(1, None, None, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "one  two"), (5, "one  two"), (None, "one two"), (None, None), (6, long), (7, long), (8, "ünïcode ß 漢字 🙂 text"), (9, "!!! 123")]
+
+
+@pytest.fixture(autouse=True)
+def few_jobs(spark):
+    """Small tables need no new plan after each exchange; the registered queries run with it."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
