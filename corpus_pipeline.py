@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripleweave.llm.base import cut
+from tripleweave.llm.base import cut, file_order, fresh
 from tripleweave.llm.exact import drop_copies
 from tripleweave.llm.langid import accepted, fit, held_out
 from tripleweave.llm.mixing import taken_rows
@@ -38,15 +38,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice. Texts without words are not taken; a null source is
-    a source; rows of one id are judged each by its text."""
+    """Documents as often as the mix takes them: none, once or twice, each copy at the training time that its source's
+    schedule gives it; the files written of the rows follow each other in that time. Texts without words are not taken; a
+    null source is a source; rows of one id are judged each by its text."""
     return taken_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, packed into sequences. Null and empty texts are one end token; rows that repeat are
-    documents of their own."""
-    return pack_documents(docs)
+    """The pieces of the documents, packed into sequences of documents that are near in the training order, which is that of
+    the files; column place rises with it. Null and empty texts are one end token; rows that repeat are documents of their
+    own."""
+    (place,) = fresh(docs, "place")
+    return pack_documents(docs.withColumn(place, file_order(docs)), order_col=place).withColumnRenamed(place, "place")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

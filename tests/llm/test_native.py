@@ -150,6 +150,16 @@ def test_taken_rows_of_repeated_ids(table):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.taken_rows(df.repartition(5)).collect()))
 
 
+def test_taken_rows_follow_the_schedules(table):
+    """Each copy stands at its own training time, so a source whose weight falls is taken early, one whose weight rises late."""
+    rows = [(i, f"{i} " + "w " * (i % 13), "abc"[i % 3]) for i in range(600)]
+    df = table([*rows, *rows[:40], *[(9000, "same words here", "d")] * 70])
+    for schedules in (mixing.SCHEDULES, mixing.SCHEDULES[::-1]):
+        want = sorted((t, r["doc_id"]) for r in mixing.mix(df, schedules=schedules).collect() for t in r["positions"])
+        assert len({t for t, _ in want}) == len(want)  # no ties
+        assert [r["doc_id"] for r in mixing.taken_rows(df, schedules=schedules).collect()] == [k for _, k in want]
+
+
 def test_order_levels(table, monkeypatch):
     """Sums of ranges over several levels give the places that one sort gives."""
     rows = [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(3000)]

@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripleweave.llm import langid, packing
+from tripleweave.llm import langid, mixing, packing
 
 from .test_native import SPACES, plain_targets
 from .test_simhash import plain_classes
@@ -138,3 +138,34 @@ def test_rows_of_one_id_are_one_sample(spark, table):
     model = langid.fit(df, rank=F.xxhash64("doc_id"))
     assert len(model.dictionaries["en"]) < 40
     assert all(w in model.dictionaries["fr"] for w in (b"begin", b"middle", b"finish")) and len(model.dictionaries["fr"]) <= 2100
+
+
+def test_training_order_lasts(spark, table, tmp_path):
+    """Written in several files, of which reading takes the largest first, the rows keep the order of the mix, up to the
+    sequences they are packed into."""
+    rows = [(i, f"{i} " + "some words here " * (i % 40 + 1), "abc"[i % 3]) for i in range(900)]
+    table(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    times = sorted((t, r["doc_id"]) for r in mixing.mix(docs).collect() for t in r["positions"])
+    STAGES["mixing"](spark, docs, str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    assert len(list((tmp_path / "mixed").glob("*.parquet"))) > 1
+    packed = STAGES["packing"](spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).where("piece = 0")
+    assert [r["doc_id"] for r in packed.orderBy("place").collect()] == [k for _, k in times]
+
+
+def test_sequences_hold_what_is_near(spark):
+    """Parts by order: the places in a sequence are as near as parts are narrow, and the rest of packing holds."""
+    items = spark.range(6000).select("id", (F.col("id") * 7).alias("place"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("length"))
+    got = packing.pack(items, part_items=500, turns=0, order_col="place").collect()
+    assert sorted((r["id"], r["place"], r["length"]) for r in got) == sorted(tuple(r) for r in items.collect())
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append(r)
+    assert max(max(r["id"] for r in s) - min(r["id"] for r in s) for s in sequences.values()) < 1000
+    exchanged = packing.pack(items, part_items=500, order_col="place").collect()
+    fills = defaultdict(list)
+    for r in exchanged:
+        fills[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in fills.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(exchanged) == 6000 and exchanged[0]["least_sequences"] <= len(fills) <= len(sequences)

@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows and bytes of one Arrow batch at most, so that a Python worker's memory does not grow with the table.
@@ -98,6 +99,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def file_order(df: DataFrame) -> Column:
+    """A number that rises, with gaps, in the order in which df was written: by the part number of a row's file, then by its
+    place in the file. Reading deals files by size, so the order of partitions is not it; df that was read from no files
+    has no other."""
+    try:
+        file = df.metadataColumn("_metadata")
+        df.select(file["row_index"])
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    number = lambda pattern: F.coalesce(F.regexp_extract(file["file_name"], pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)[.]"), 34) + file["row_index"]
+
+
 def own_columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

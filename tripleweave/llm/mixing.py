@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -86,9 +85,23 @@ def _placed(df: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     return cut(out.select("source", "turn", "id", "size", "order", "n", "source_size", "target", (F.col("start") + F.col("within")).alias("before"))), known
 
 
-def _reached(before: Column, epoch: int) -> Column:
-    """Where a copy's middle word lies in its source's stream, which is repeated without end."""
-    return before.cast("double") + F.col("size") / F.lit(2.0) + F.col("source_size") * F.lit(float(epoch))
+def _middle(copy: Column) -> Column:
+    """Where the middle word of a row lies in its source's stream; copy tells rows of one key apart, from 0."""
+    return (F.col("before") + F.col("size") * copy).cast("double") + F.col("size") / F.lit(2.0)
+
+
+def _times(schedules: Sequence[Schedule], cap: float) -> Column:
+    """The training times of the copies of a row whose middle word lies at `middle` in its source's stream: of each epoch
+    that reaches it under the target, where the source's integrated schedule has had so much."""
+    times = []
+    for e in range(math.ceil(cap)):
+        at = F.col("middle") + F.col("source_size") * F.lit(float(e))
+        one = F.when((F.col("size") > 0) & (at <= F.col("target")), at)
+        part, time = one / F.col("target"), F.lit(None).cast("double")
+        for n, schedule in enumerate(schedules):
+            time = F.when(F.pmod("turn", F.lit(len(schedules))) == n, inverted(schedule, part)).otherwise(time)
+        times.append(F.when(one.isNotNull(), time))
+    return F.filter(F.array(*times), lambda x: x.isNotNull())
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
@@ -106,15 +119,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     level by level, then within a range, so that a source with most of the rows is spread over many tasks.
     """
     placed, _ = _placed(df, id_col, text_col, source_col, weights, share, cap)
-    rows = unrolled(placed, "n", "copy").withColumn("middle", _reached(F.col("before") + F.col("size") * F.col("copy"), 0))
-    at = [F.when((F.col("size") > 0) & (F.col("middle") + F.col("source_size") * F.lit(float(e)) <= F.col("target")), F.col("middle") + F.col("source_size") * F.lit(float(e))) for e in range(math.ceil(cap))]
-    times = []
-    for one in at:
-        part, time = one / F.col("target"), F.lit(None).cast("double")
-        for n, schedule in enumerate(schedules):
-            time = F.when(F.pmod("turn", F.lit(len(schedules))) == n, inverted(schedule, part)).otherwise(time)
-        times.append(F.when(one.isNotNull(), time))
-    found = rows.withColumn("positions", F.filter(F.array(*times), lambda x: x.isNotNull()))
+    rows = unrolled(placed, "n", "copy").withColumn("middle", _middle(F.col("copy")))
+    found = rows.withColumn("positions", _times(schedules, cap))
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", F.size("positions").alias("copies"), (F.col("size") * F.size("positions")).cast("long").alias("taken"), "positions", (F.lit(1.0) + F.col("middle") / (F.col("source_size") + 1)).alias("after"))
 
 
@@ -123,38 +129,36 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.coalesce(F.get("positions", F.lit(0)), F.col("after")))
 
 
-def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """df as the mix takes it: each row as many times as it has copies, all columns as they are.
+def taken_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, schedules: Sequence[Schedule] = SCHEDULES) -> DataFrame:
+    """df as the mix takes it, in training order: each row as many times as it has copies, all columns as they are, and
+    each copy at its own training time, which is that of mix(): where the source's integrated schedule reaches the copy's
+    middle word. Rows are range-sorted by it, so files written of them follow each other in training time.
 
-    What an epoch takes of a source is the beginning of its stream, so one order key a source and epoch says which rows
-    are taken: the rows of df never move, and nothing grows with them but the sources. Rows that share id, text and source also share
-    their key; where an epoch ends among them, they are numbered, and as many as it takes are kept.
+    What an epoch takes of a source is the beginning of its stream, so rows whose order key comes after all that the first
+    epoch takes go before anything moves. The others are joined with their times by source and key, then sorted. Rows that
+    share id, text and source also share their key; they are numbered, and each has the place of its number.
 
     Rows without words are never taken; a null source is a source; rows of one id are judged each by its text; columns of any
-    names pass through; an empty table gives an empty table.
+    names pass through; an empty table gives an empty table. Ties in time go by source, then by key.
     """
     placed, known = _placed(df, id_col, text_col, source_col, weights, share, cap)
-    epochs = range(math.ceil(cap))
-    # of n rows of one key, those whose middles lie at or under the target
-    took = [F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("target") - _reached(F.col("before"), e)) / F.col("size")) + 1))).otherwise(0).cast("long") for e in epochs]
-    counted = placed.select("turn", "order", "n", *[t.alias(f"took{e}") for e, t in enumerate(took)])
-    last = [F.max(F.when(F.col(f"took{e}") > 0, F.col("order"))).alias(f"last{e}") for e in epochs]
-    ends = cut(known.join(counted.groupBy("turn").agg(*last), "turn").select("source", "turn", *[f"last{e}" for e in epochs]))
-    key, source, turn, *names = fresh(df, "__order", "__source", "__turn", *[f"__last{e}" for e in epochs])
-    cuts = hinted(ends.select(F.col("source").alias(source), F.col("turn").alias(turn), *[F.col(f"last{e}").alias(n) for e, n in enumerate(names)]))
+    started = placed.withColumn("middle", _middle(F.lit(0))).where((F.col("size") > 0) & (F.col("middle") <= F.col("target")))
+    ends = started.groupBy("turn").agg(F.max("order").alias("last"))
+    key, source, turn, last = fresh(df, "__order", "__source", "__turn", "__last")
+    cuts = hinted(cut(known.join(ends, "turn").select(F.col("source").alias(source), F.col("turn").alias(turn), F.col("last").alias(last))))
     keyed = df.withColumn(key, order_key(id_col, text_col))
-    joined = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts[source])).where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))  # has words
-    split = cut(counted.where(reduce(lambda a, b: a | b, [(F.col(f"took{e}") > 0) & (F.col(f"took{e}") < F.col("n")) for e in epochs])))
-    times = reduce(lambda a, b: a + b, [F.coalesce((F.col(key) <= F.col(n)).cast("int"), F.lit(0)) for n in names])
-    repeat = lambda rows, n: rows.withColumn(turn, F.explode(F.array_repeat(F.lit(0), n))).select(*own_columns(df))
-    if split.isEmpty():
-        return repeat(joined, times)
-    ties = F.broadcast(split.select(F.col("turn").alias("t"), F.col("order").alias("o"), *[f"took{e}" for e in epochs]))  # at most a row a source and epoch
-    on = (joined[turn] == ties["t"]) & (joined[key] == ties["o"])
-    some = _numbered(cut(joined.join(ties, on).select(F.struct(*own_columns(df)).alias("row"), "t", "o", *[f"took{e}" for e in epochs])), ["t", "o"])
-    few = reduce(lambda a, b: a + b, [(F.col("place") < F.col(f"took{e}")).cast("int") for e in epochs])
-    tied = some.withColumn("copy", F.explode(F.array_repeat(F.lit(0), few))).select("row.*")
-    return repeat(joined.join(ties, on, "left_anti"), times).unionByName(tied)
+    reached = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts[source])).where(F.col(key) <= F.col(last))
+    rows = reached.select(F.struct(*own_columns(df)).alias("row"), F.col(turn).alias("turn"), F.col(key).alias("order"))
+    at = ["order", "turn"]
+    single, repeated = started.where("n = 1").select(*at, _times(schedules, cap).alias("times")), started.where("n > 1")
+    if repeated.isEmpty():
+        timed = rows.join(single, at)
+    else:
+        keys = hinted(cut(repeated.select(*at)))
+        each = unrolled(repeated, "n", "place").withColumn("middle", _middle(F.col("place"))).select(*at, "place", _times(schedules, cap).alias("times"))
+        some = _numbered(cut(rows.join(keys, at)), at)
+        timed = rows.join(keys, at, "left_anti").join(single, at).unionByName(some.join(each, [*at, "place"]).select(*at, "row", "times"))
+    return timed.withColumn("time", F.explode("times")).orderBy("time", "turn", "order").select("row.*")
 
 
 def _numbered(df: DataFrame, by: list[str]) -> DataFrame:

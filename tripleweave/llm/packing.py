@@ -190,8 +190,8 @@ FREED, STEP = 0.02, 4
 LEAST_GAIN = 1e-4
 
 
-def _packed(items: DataFrame, parts: int, capacity: int, turn: int) -> DataFrame:
-    """items (with a number each, `row`) dealt over parts by a hash, each part packed by best fit and certified:
+def _packed(items: DataFrame, parts: int, capacity: int, turn: int, order: str | None = None) -> DataFrame:
+    """items (with a number each, `row`) dealt over parts by a hash, or by ranges of column order, each part packed by best fit and certified:
     sequence_id, offset, and slack: the place of a bin among those of its part, the emptiest first, from 0 up to 1; 2 for
     full bins and for parts that no exchange can better."""
     schema = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("slack", T.DoubleType())])
@@ -220,14 +220,15 @@ def _packed(items: DataFrame, parts: int, capacity: int, turn: int) -> DataFrame
         out = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets)).append_column("slack", pa.array(slack[bins]))
         yield from out.select(names).to_batches(max_chunksize=10_000)
 
-    return items.repartition(parts, F.xxhash64("row", F.lit(turn))).mapInArrow(run, schema)
+    dealt = items.repartitionByRange(parts, F.col(order), "row") if order else items.repartition(parts, F.xxhash64("row", F.lit(turn)))
+    return dealt.mapInArrow(run, schema)
 
 
 def _bins() -> Column:
     return F.count(F.when(F.col("offset") == 0, 1))
 
 
-def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns: int | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns: int | None = None, order_col: str | None = None) -> DataFrame:
     """items (columns length and others) with sequence_id, offset and least_sequences: best-fit decreasing in parts of
     about part_items items, each certified by a dual-feasible-function bound. least_sequences is that bound for the whole, the
     same in all rows: no packing has fewer sequences, and the log says how many there are.
@@ -237,7 +238,7 @@ def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns
     by one that opens more, of all parts and earlier turns; it ends at the bound, or when a turn that opened all bins
     with gaps saved none, or next to none (or after `turns`, if given). Each turn is a written table; only what is opened
     moves again. Every item has a number of its own, so rows that are equal spread over the parts like others. No items
-    give no rows.
+    give no rows. With order_col, parts are ranges of it in every turn, so that a sequence holds items that are near in it.
     """
     columns, (row,) = items.columns, fresh(items, "row")
     numbered = cut(items.withColumn(row, F.monotonically_increasing_id()).withColumnRenamed(row, "row") if row == "row" else items.select(F.struct(*own_columns(items)).alias("item"), "length").withColumn("row", F.monotonically_increasing_id()))
@@ -245,15 +246,15 @@ def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns
     for r in numbered.groupBy("length").count().collect():  # at most one row a length
         counts[r["length"]] = r["count"]
     least, total = lower_bound(counts, capacity), int(counts.sum())
-    kept = numbered.columns
-    tables = [(cut(_packed(numbered, max(1, -(-total // part_items)), capacity, 0)), 0.0)]  # with the slack from which their bins are closed no more
+    kept, order = numbered.columns, order_col and (order_col if row == "row" else f"item.{order_col}")
+    tables = [(cut(_packed(numbered, max(1, -(-total // part_items)), capacity, 0, order)), 0.0)]  # with the slack from which their bins are closed no more
     share, turn, bins = FREED, 1, tables[0][0].agg(_bins()).first()[0]
     while bins > least and (turns is None or turn <= turns):
         some = reduce(DataFrame.unionByName, [t.where((F.col("slack") >= since) & (F.col("slack") < share)) for t, since in tables])
         state = some.agg(F.count("*").alias("rows"), _bins().alias("bins")).first()
         saved = 0
         if state["rows"]:
-            again = cut(_packed(some.select(*kept), max(1, -(-state["rows"] // part_items)), capacity, turn))
+            again = cut(_packed(some.select(*kept), max(1, -(-state["rows"] // part_items)), capacity, turn, order))
             saved, turn = state["bins"] - again.agg(_bins()).first()[0], turn + 1
         if saved > 0:
             bins, tables = bins - saved, [*((t, max(since, share)) for t, since in tables), (again, 0.0)]
@@ -269,13 +270,18 @@ def pack(items: DataFrame, capacity: int = 2048, part_items: int = 40_000, turns
     return now.select(*items_again, *made, F.lit(least).cast("long").alias("least_sequences"))
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, path: str | None = None, order_col: str | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences), a row for each piece of each row of df.
+    With order_col, its value comes before sequence_id, and sequences are made of documents that are near in it.
 
     Only documents of over capacity tokens are cut. Null and empty texts are one end id; rows that repeat, or have no
     id, are documents of their own; an empty table gives an empty table; other columns are neither read nor returned.
     """
-    return pack(pieces(df, id_col, text_col, capacity, path), capacity).withColumnRenamed("id", id_col)
+    if order_col is None:
+        return pack(pieces(df, id_col, text_col, capacity, path), capacity).withColumnRenamed("id", id_col)
+    both = df.select(F.struct(F.col(id_col).alias("id"), F.col(order_col).alias("place")).alias("id"), F.col(text_col).alias("text"))
+    items = pieces(both, "id", "text", capacity, path).select("id.id", "piece", "start", "length", "ids_crc32", "id.place")
+    return pack(items, capacity, order_col="place").withColumnRenamed("id", id_col).withColumnRenamed("place", order_col)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
