@@ -1,5 +1,6 @@
 import json
 import threading
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -207,6 +208,50 @@ def test_files_that_can_be_split_are(spark, tmp_path):
         triples(spark, tmp_path, f'<#m> {source("f.csv")} ; rr:subjectMap [ rr:template "http://ex.org/{{a}}" ; rr:class ex:T ] .', Options(csv_check=True))
 
 
+@contextmanager
+def small_splits(spark):
+    """Spark splits files after some hundred bytes."""
+    sizes = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "800"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+
+
+def people(n):
+    return "".join(f"<person id=\"{i}\" mark='>{i}'>\n <name>N {i} é &lt;b&gt;</name>\r\n<personal/>" + (f"<!-- <name>no</name> --><name><![CDATA[<x> {i}]]></name>" if i % 3 == 0 else "") + f'<home no="{i % 5}"><city>C{i % 7}</city></home></person>\n' for i in range(n))
+
+
+def test_xml_files_are_split(spark, tmp_path):
+    """One file over many tasks, with all of its rows, wherever a task's part ends."""
+    m = f'<#m> {source("p.xml", "ql:XPath", "; rml:iterator " + chr(34) + "/all/person" + chr(34))} ; rr:subjectMap [ rr:template "http://ex.org/{{@id}}" ] ; {pom("name", "rml:reference " + chr(34) + "name" + chr(34))} ; {pom("city", "rml:reference " + chr(34) + "home/city" + chr(34))} .'
+    want = sorted([(E(i), E("name"), f'"N {i} é <b>"') for i in range(200)] + [(E(i), E("name"), f'"<x> {i}"') for i in range(0, 200, 3)] + [(E(i), E("city"), f'"C{i % 7}"') for i in range(200)])
+    with small_splits(spark):
+        engine = make(spark, tmp_path, m, p__xml=f'<?xml version="1.0" encoding="UTF-8"?>\n<!-- all -->\n<all>{people(200)}<other><person_/></other></all>\n')
+        got = sorted((r["s"], r["p"], r["o"]) for r in engine.graph().collect())
+        [rows] = engine.read.values()
+    assert got == want and not rows.whole_files and rows.df.rdd.getNumPartitions() > 20
+
+
+def test_xml_files_that_cannot_be_split(spark, tmp_path):
+    """Where the text does not tell a record's ends, rows are as Spark reads them whole, and are dealt over the cores."""
+    one = '<person id="1"><name>A</name></person>'
+    for n, text in enumerate((f'<all><person id="2"/>{one}</all>', f'<all>{one}<person id="2"/></all>', f'<all>{one}<person id="2"><name>B</name></person ></all>', f'<all>{one}<person id="2"><person id="3"/></person></all>', f"<all>{one}<!-- </person> -->{one}</all>", f"<all>{one}<!-- {one} --></all>", f'<all><person id="2"><name><![CDATA[</person>]]></name></person>{one}</all>', f'<!DOCTYPE all [<!ENTITY e "x">]><all>{one}{one}</all>', f'<all>{one}<person id="2"><name>B', f'<all>{one}<person id="2"><name>B</nam></person></all>', f"{one}{one}", f'<?xml version="1.0" encoding="ISO-8859-1"?><all>{one}{one}</all>')):
+        (tmp_path / f"{n}.xml").write_text(text)
+        with small_splits(spark):
+            df, whole = readers.load_xml(spark, str(tmp_path / f"{n}.xml"), "person", "all")
+        plain = spark.read.format("xml").option("rowTag", "person").load(str(tmp_path / f"{n}.xml"))
+        assert whole and sorted(map(str, df.collect())) == sorted(map(str, plain.collect())), text
+    m = f'<#m> {source("w.xml", "ql:XPath", "; rml:iterator " + chr(34) + "/all/person" + chr(34))} ; rr:subjectMap [ rr:template "http://ex.org/{{@id}}" ; rr:class ex:T ] .'
+    engine = make(spark, tmp_path, m, w__xml=f'<all><person id="2"/>{one}</all>')
+    assert len(engine.graph().collect()) == 2
+    [rows] = engine.read.values()
+    assert rows.whole_files and rows.df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_partitioned_jdbc(spark, tmp_path):
     """A real database over JDBC: in one task, in ranges of a column, and with no rows to part."""
     if not spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver"):

@@ -163,6 +163,50 @@ def nested(df: DataFrame, kind: str = "json", item: str = "item") -> Rows:
 
 # --- XML
 
+#: A longer way to the end of a record than so many bytes leaves a file whole: pieces must fit memory.
+_RECORD_BYTES = 1 << 26
+
+
+def records_of(spark: SparkSession, path: str, tag: str, root: str) -> DataFrame | None:
+    """The text of each element of a tag, a row each, from files split over tasks: a piece ends where the text has the
+    element's end. None where that cannot be told from the text, which one pass finds out, split as well: elements in
+    each other, without content or apart from the root; ends in comments or with blanks; entities; other encodings. None
+    too where all files together are no more than Spark would split."""
+    if tag == root or not re.fullmatch(r"[\w:.-]+", tag):
+        return None
+    reader = spark.read.option("lineSep", f"</{tag}>")
+    # pieces of more bytes are passed over, which the sum of bytes tells
+    pieces = reader.option("mapreduce.input.linerecordreader.line.maxlength", _RECORD_BYTES).text(path)
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    if pieces.columns != ["value"] or pieces._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= least:
+        return None
+    name, value = re.escape(tag), F.col("value")
+    begun = rf"<{name}(?=[\s/>])"
+    open_tag = rf"<{name}(?:\s+[^\s=<>/\"']+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*>"
+    outside = F.when(value.contains("<!") | value.contains("<?"), F.regexp_replace(value, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", ""))
+    odd = outside.contains("<!") | outside.contains("<?") | value.rlike(r"<\?xml[^>]*?encoding\s*=\s*[\"'](?!(?i:utf-?8)[\"'])")
+    starts = F.regexp_count(value, F.lit(begun))
+    faulty = (starts > 1) | ((starts == 1) & ~value.rlike(open_tag)) | F.coalesce(odd, F.lit(False))
+    ends = (starts == 0) & value.rlike(rf"</{re.escape(root)}\s*>\s*$")
+    told = pieces.select(faulty.alias("faulty"), (starts == 0).alias("rest"), ends.alias("ends"), F.octet_length("value").alias("bytes"), "_metadata.file_path", "_metadata.file_size")
+    files = told.groupBy("file_path", "file_size").agg(F.count_if("faulty").alias("faulty"), F.count_if("rest").alias("rest"), F.count_if("ends").alias("ends"), (F.sum("bytes") + (F.count("*") - 1) * len(f"</{tag}>".encode())).alias("bytes"), F.count("*").alias("pieces"))
+    # each file's last piece alone has no record, and closes the root
+    sound = (F.col("faulty") == 0) & (F.col("rest") == 1) & (F.col("ends") == 1) & (F.col("bytes") == F.col("file_size"))
+    if files.agg(F.coalesce(F.bool_and(sound) & (F.max("pieces") > 1), F.lit(False))).first()[0]:
+        return reader.text(path).where(value.rlike(begun)).select(F.concat(F.substr(value, F.regexp_instr(value, F.lit(begun))), F.lit(f"</{tag}>")).alias("value"))
+    return None
+
+
+def load_xml(spark: SparkSession, path: str, tag: str, root: str) -> tuple[DataFrame, bool]:
+    """(a row for each element of a tag, whether each file is one task)."""
+    reader = spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").option("attributePrefix", "_").option("mode", "PERMISSIVE")
+    if (records := records_of(spark, path, tag, root)) is not None:
+        texts = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        df = DataFrame(reader._jreader.xml(texts), spark)
+        if "_corrupt_record" not in df.columns:
+            return df, False
+    return reader.load(path), True
+
 
 def read_xml(spark: SparkSession, path: str, iterator: str, references: list[str] = ()) -> Rows:
     """One row for each element at the iterator. Where references climb with .., rows start from the ancestor, whose
@@ -173,7 +217,7 @@ def read_xml(spark: SparkSession, path: str, iterator: str, references: list[str
     climbs = max([0, *(sum(s[0] == "up" for s in xpath_segments(r)) for r in references)])
     climbs = min(climbs, len(names) - 1)
     tag, below = names[-1 - climbs], names[len(names) - climbs :]
-    df = spark.read.format("xml").option("rowTag", tag).option("valueTag", "_VALUE").option("attributePrefix", "_").option("mode", "PERMISSIVE").load(path)
+    df, whole_files = load_xml(spark, path, tag, names[0])
     df = df.select(F.struct(*[_column(c) for c in df.columns]).alias("up0"))
     levels = ["up0"]
     for n, name in enumerate(below, 1):
@@ -201,7 +245,7 @@ def read_xml(spark: SparkSession, path: str, iterator: str, references: list[str
             found = compile_path(kind, [*steps, ("name", "_VALUE")])
         return Value(found[0](F.col(levels[level])), found[1], found[2]) if found else None
 
-    return Rows(df, resolve, "xml")
+    return Rows(df, resolve, "xml", whole_files=whole_files)
 
 
 # --- relational
