@@ -236,6 +236,17 @@ def test_xml_files_are_split(spark, tmp_path):
     assert got == want and not rows.whole_files and rows.df.rdd.getNumPartitions() > 20
 
 
+def test_parents_in_split_xml(spark, tmp_path):
+    """References that climb meet their ancestor in files that are split at the ancestors' ends, by steps over lists too."""
+    m = f'<#m> {source("p.xml", "ql:XPath", "; rml:iterator " + chr(34) + "/all/person/home" + chr(34))} ; rr:subjectMap [ rr:template "http://ex.org/{{../@id}}/{{@no}}" ] ; {pom("of", "rml:reference " + chr(34) + "../nick" + chr(34))} .'
+    text = "".join(f'<person id="{i}"><nick>N{i}</nick>' + "".join(f'<home no="{k}"/>' for k in range(i % 3)) + "</person>\n" for i in range(150))
+    with small_splits(spark):
+        engine = make(spark, tmp_path, m, p__xml=f"<all>\n{text}</all>")
+        got = sorted((r["s"], r["p"], r["o"]) for r in engine.graph().collect())
+        [rows] = engine.read.values()
+    assert got == sorted((E(f"{i}/{k}"), E("of"), f'"N{i}"') for i in range(150) for k in range(i % 3)) and rows.df.rdd.getNumPartitions() > 5
+
+
 def test_xml_files_that_cannot_be_split(spark, tmp_path):
     """Where the text does not tell a record's ends, rows are as Spark reads them whole, and are dealt over the cores."""
     one = '<person id="1"><name>A</name></person>'
