@@ -11,7 +11,7 @@ from tripleweave.sinks import rdf
 from tripleweave.sources.paths import find_path
 from tripleweave.streaming.graph import stream_graph
 
-from .test_engine import HEAD, E, make, pom, source, triples
+from .test_engine import HEAD, E, make, people, pom, small_splits, source, triples
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 
@@ -183,6 +183,24 @@ def test_places_of_joined_values_and_xml_views(spark, tmp_path):
     assert [(s, o) for s, _, o in got] == [(E("1"), '"0 A 3"'), (E("1"), '"1 B 4"')]
 
 
+def test_views_of_split_and_whole_xml(spark, tmp_path):
+    """A view's file is split too, and its rows keep the places they have in it; rows of a whole file are dealt over the
+    cores."""
+    fields = f'{ref("id", "@id")} ; r:field [ r:fieldName "place" ; r:iterator "home" ; {ref("city")} ]'
+    m = view("x", "x.xml", fields, "ql:XPath", '; r:iterator "/all/person"') + over("x", "http://ex.org/{id}", literal("at", "{AT} {place.city}"))
+    with small_splits(spark):
+        for at in ("#", "place.#"):
+            engine = make(spark, tmp_path, m.replace("{AT}", f"{{{at}}}"), x__xml=f"<all>{people(200)}</all>")
+            got = sorted((r["s"], r["o"]) for r in engine.graph().collect())
+            assert got == sorted((E(i), f'"{i if at == "#" else 0} C{i % 7}"') for i in range(200))
+        [rows] = engine.read.values()
+        assert rows.df.rdd.getNumPartitions() > 20
+        engine = make(spark, tmp_path, m.replace("{AT}", "{place.#}"), x__xml=f'<all><person id="7"/>{people(5)}</all>')
+        assert len(engine.graph().collect()) == 5
+        [rows] = engine.read.values()
+        assert rows.df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_subject_keys_and_shared_items(spark):
     from tripleweave.operators.terms import Options, Terms
     from tripleweave.operators.views import shared_items

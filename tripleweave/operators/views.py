@@ -176,8 +176,7 @@ def view_rows(engine, view: View) -> Rows:
         wanted = [r for f in view.fields for r in references(f.term)] + [r for j in view.joins for c in j.conditions for r in references(c.child)]
         rows = read(engine.spark, view.source, wanted, engine.options)
     used = _uses_index(engine, view)
-    if used:
-        rows = Rows(row_index(rows.df), rows.resolve, rows.kind, rows.tokens)
+    rows = Rows(row_index(rows.df), rows.resolve, rows.kind, rows.tokens) if used else engine.spread(rows)
     terms = Terms(rows, engine.options, engine.mapping.base)
     columns: list[Column] = [F.col("`#`")] if used else []
     for f in view.fields:
